@@ -60,7 +60,54 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tag_counts, p3_found, p3_pairs, p5_found, p5_neighbours, p6_ids)}
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda table, kind, key, text: read_table(spark, sf_dir, table).select(F.lit(kind).alias("rec_kind"), F.col(key).alias("rec_id"), F.col(text).alias("text"))
+    return part("images", "image", "image_id", "description").unionByName(part("videos", "video", "video_id", "transcript_text")).unionByName(part("documents", "document", "doc_id", "text"))
+
+
+def _toxicity(spark: SparkSession, sf_dir: str):
+    from .toxicity import labelled_texts, train, usual_texts
+
+    documents, reviews = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "review_labels")
+    return train(*labelled_texts(documents, reviews), usual_texts(documents, reviews))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_scores(spark, sf_dir).where("score >= 0.5").select("rec_kind", "rec_id")
+
+
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_texts
+
+    return score_texts(_texts(spark, sf_dir), _toxicity(spark, sf_dir))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import source_name
+    from .toxicity import score_texts
+
+    documents = read_table(spark, sf_dir, "documents")
+    rows = documents.select(F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), "text")
+    flagged = score_texts(rows, _toxicity(spark, sf_dir)).select("rec_id", (F.col("score") >= 0.5).cast("int").alias("case"))
+    sources = documents.select(F.col("doc_id").alias("rec_id"), source_name(F.col("source")).alias("source"))
+    return sources.join(flagged, "rec_id").groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("case").alias("n_cases"), F.avg("case").alias("rate"))
+
+
+def _spam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spam import score_pages
+
+    return score_pages(read_table(spark, sf_dir, "documents"), "doc_id", "text", "collection")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spam(spark, sf_dir).where("score > 0.5").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spam(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tag_counts, p2_found, p2_scores, p2_rates, p3_found, p3_pairs, p5_found, p5_neighbours, p6_ids, p8_found, p8_scores)}
 
 # The white space of Unicode, as str.strip() takes it (fixed values).
 _SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
