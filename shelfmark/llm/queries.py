@@ -107,7 +107,27 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spam(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tag_counts, p2_found, p2_scores, p2_rates, p3_found, p3_pairs, p5_found, p5_neighbours, p6_ids, p8_found, p8_scores)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .history import repeated_uploads
+
+    return repeated_uploads(read_table(spark, sf_dir, "uploads"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str):
+    from .mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).texts
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).report
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tag_counts, p2_found, p2_scores, p2_rates, p3_found, p3_pairs, p4_found, p5_found, p5_neighbours, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
 
 # The white space of Unicode, as str.strip() takes it (fixed values).
 _SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
