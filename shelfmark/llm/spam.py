@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,12 +40,14 @@ _FUNCTION = frozenset(
     ao aos as com da das do dos e em mas na nas no nos o os ou para pelo que se sem seu sua um uma""".split()
 )
 _URL = regex.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*|\b[\w-]+(?:\.[\w-]+)+(?=\s|$)", regex.I)
-_HASHTAG = regex.compile(r"(?<!\S)#\S+")
+_HASHTAG = re.compile(r"(?<!\S)#\S+")
+_LINKED = re.compile(r"[\w-]\.[\w-]")
+_DIGIT = re.compile(r"\d")
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*|[0-9]+")
 _WORD = regex.compile(r"[\p{Hiragana}]+|[\p{Katakana}ー]+|[\p{Han}]+|[\p{L}\p{M}]+(?:['’-]\p{L}+)*|\p{N}+")
-_HIRAGANA = regex.compile(r"\p{Hiragana}")
 _LATIN_END = regex.compile(r"[.!?。！？…]+(?=\s|$|[\p{Han}\p{Hiragana}\p{Katakana}])|\n")
 _END = regex.compile(r"[.!?。！？…]+(?=\s|$|[\p{Han}\p{Hiragana}\p{Katakana}])")
-_SEPARATOR = regex.compile(r"[|·•/,;、\n]| - ")
+_SEPARATOR = re.compile(r"[|·•/,;、\n]| - ")
 
 FEATURES = (
     "url_share", "hashtag_share", "repeated_share", "top_phrase_share", "function_share", "sentence_share", "separators_per_word", "title_share", "digit_share",
@@ -52,48 +55,93 @@ FEATURES = (
 )
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words without links; hash tags count as words of their own."""
-    return [w.lower() for w in _WORD.findall(_URL.sub(" ", text))]
+def _words(text: str) -> list[str]:
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def _told(words: list[str]) -> int:
+    """How many words are function words; runs of Hiragana count as such."""
+    return sum(w in _FUNCTION or "\u3041" <= w[0] <= "\u309f" for w in words)
+
+
+class Page:
+    """What the features of a text are computed from; the text is split into words once."""
+
+    __slots__ = ("bare", "letters", "links", "segments", "tags", "text")
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.letters = len("".join(text.split()))
+        bare, self.links, self.tags = text, 0, 0
+        if "." in text and _LINKED.search(text):
+            self.links = sum(map(len, _URL.findall(text)))
+            bare = _URL.sub(" ", bare)
+        if "#" in text:
+            self.tags = sum(map(len, _HASHTAG.findall(bare)))
+        self.bare = bare
+        untagged = _HASHTAG.sub(" ", bare) if self.tags else bare
+        # (size, words, words in lower case) of each stretch between sentence ends
+        self.segments = [(len(x), w, [y.lower() for y in w]) for x in _LATIN_END.split(untagged) if x and not x.isspace() for w in (_words(x),)]
+        self.bare = untagged
+
+    def words(self) -> set[str]:
+        """Distinct words without links; hash tags count as words."""
+        found = {w for _, _, own in self.segments for w in own}
+        if self.tags:
+            found.update(w.lower() for t in _HASHTAG.findall(self.text) for w in _words(t))
+        return found
+
+    def plain(self) -> list[float]:
+        """The features that need no word odds."""
+        n = max(self.letters, 1)
+        words = [w for _, own, _ in self.segments for w in own]
+        lower = [w for _, _, own in self.segments for w in own]
+        k = len(lower)
+        d = max(k, 1)
+        named = [w for w in lower if not w[0].isdigit()]  # numbers repeat in tables and time marks
+        pairs = Counter(zip(named, named[1:], strict=False))
+        often = {p for p, c in pairs.items() if c >= 3}
+        covered = 0
+        if often:
+            last = False
+            for p in zip(named, named[1:], strict=False):
+                now = p in often
+                covered += now or last
+                last = now
+            covered += last
+        told = [_told(own) for _, _, own in self.segments]
+        sentences = sum(size for (size, own, _), t in zip(self.segments, told, strict=True) if len(own) >= 3 and t >= 0.15 * len(own))
+        long = max(sum(size for size, _, _ in self.segments), 1)
+        raw = self.text.encode("utf-8", "replace")
+        return [
+            min(self.links / n, 1.0), min(self.tags / n, 1.0), covered / d, max(pairs.values(), default=0) * 2 / d, sum(told) / d, sentences / long,
+            len(_SEPARATOR.findall(self.bare)) / d, sum(w[0].isupper() for w in words) / d, len(_DIGIT.findall(self.bare)) / n,
+            k / max(len(self.segments), 1), len(zlib.compress(raw, 1)) / len(raw), math.log1p(k), len(pairs) / d,
+        ]
+
+    def ends(self) -> float:
+        return len(_END.findall(self.bare)) / max(sum(len(own) for _, own, _ in self.segments), 1)
+
+    def hot(self, odds: dict[str, float]) -> list[float]:
+        """The features from the spam log-odds of words."""
+        hot = long = many = k = 0
+        total = 0.0
+        for size, _, own in self.segments:
+            marks = [m for w in own if (m := odds.get(w)) is not None]
+            telling = sum(m > 1 for m in marks)
+            many, total, k, long = many + telling, total + sum(marks), k + len(own), long + size
+            if own and telling >= 0.25 * len(own):
+                hot += size
+        stuffed = self.links + self.tags
+        return [many / max(k, 1), total / max(k, 1), hot / max(long, 1), self.ends(), (hot + stuffed) / max(long + stuffed, 1)]
 
 
 def page_features(text: str | None, odds: dict[str, float]) -> list[float]:
-    """The features of a text; ``odds`` has the spam log-odds of words and may be empty."""
-    if not text or not (n := sum(not c.isspace() for c in text)):
+    """The features of a text; ``odds`` has the spam log-odds of words and may be empty.  Null and blank texts have zeros."""
+    if not text or text.isspace():
         return [0.0] * len(FEATURES)
-    url = sum(len(m) for m in _URL.findall(text)) / n
-    tags = sum(len(m) for m in _HASHTAG.findall(text)) / n
-    bare = _HASHTAG.sub(" ", _URL.sub(" ", text))
-    words = _WORD.findall(bare)
-    lower = [w.lower() for w in words]
-    k = len(lower)
-    pairs = Counter(zip(lower, lower[1:], strict=False))
-    covered = [False] * (k + 1)
-    for i in range(k - 1):
-        if pairs[lower[i], lower[i + 1]] >= 3:
-            covered[i] = covered[i + 1] = True
-    function = [w in _FUNCTION or bool(_HIRAGANA.match(w)) for w in lower]
-    segments = [s for s in _LATIN_END.split(bare) if s and not s.isspace()]
-    sentences = hot = long = 0
-    for s in segments:
-        own = [w.lower() for w in _WORD.findall(s)]
-        size = len(s)
-        long += size
-        if own:
-            telling = sum(w in _FUNCTION or bool(_HIRAGANA.match(w)) for w in own) / len(own)
-            if telling >= 0.15 and len(own) >= 3:
-                sentences += size
-            if sum(odds.get(w, 0.0) > 1 for w in own) / len(own) >= 0.25:
-                hot += size
-    marks = [odds.get(w, 0.0) for w in lower]
-    ends = len(_END.findall(bare)) / max(k, 1)
-    stuffed = (hot + url * n + tags * n) / max(long + url * n + tags * n, 1)
-    return [
-        min(url, 1.0), min(tags, 1.0), sum(covered[:k]) / max(k, 1), max(pairs.values(), default=0) * 2 / max(k, 1), sum(function) / max(k, 1), sentences / max(long, 1),
-        len(_SEPARATOR.findall(bare)) / max(k, 1), sum(w[0].isupper() for w in words) / max(k, 1), sum(c.isdigit() for c in bare) / n,
-        k / max(len(segments), 1), len(zlib.compress(text.encode("utf-8", "replace"), 1)) / len(text.encode("utf-8", "replace")), math.log1p(k), len(set(lower)) / max(k, 1),
-        sum(m > 1 for m in marks) / max(k, 1), sum(marks) / max(k, 1), hot / max(long, 1), ends, stuffed,
-    ]
+    page = Page(text)
+    return page.plain() + page.hot(odds)
 
 
 _F = {name: k for k, name in enumerate(FEATURES)}
@@ -202,12 +250,12 @@ def _seed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.string()), pa.array([*(v[1] for v in values), pages[1]], pa.int64()), pa.array([*(v[0] for v in values), pages[0]], pa.int64())], names=["word", "spam", "clean"])
 
     for batch in batches:
-        texts = [t for t in batch.column(0).to_pylist() if t and not t.isspace()]
-        labels = seed_label(_matrix(texts, {}))
-        for t, label in zip(texts, labels, strict=True):
+        found = [Page(t) for t in batch.column(0).to_pylist() if t and not t.isspace()]
+        labels = seed_label(np.array([p.plain() + p.hot({}) for p in found], float).reshape(len(found), len(FEATURES)))
+        for page, label in zip(found, labels, strict=True):
             if label >= 0:
                 pages[label] += 1
-                for w in set(words_of(t)):
+                for w in page.words():
                     counts.setdefault(w, [0, 0])[label] += 1
         if len(counts) > 300_000:
             yield emit()
@@ -233,25 +281,29 @@ def word_odds(pages: DataFrame, text_column: str) -> dict[str, float]:
     return {r.word: r.odds for r in rows.orderBy(F.desc("spam"), "word").limit(SENT_WORDS).collect()}
 
 
-def _label_pages(odds: dict[str, float]):
+def _measure_pages(odds: dict[str, float]):
+    """Columns in: id, host, text; out: the features, none for null and blank texts, and the weak label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(2).to_pylist()
             x = _matrix(texts, odds)
-            label = np.where([bool(t) and not t.isspace() for t in texts], weak_label(x), -1)
-            keep = np.flatnonzero(label >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(label[keep].astype(np.int32)), pa.array([x[k].tolist() for k in keep], pa.list_(pa.float64()))], names=["label", "x"])
+            there = [bool(t) and not t.isspace() for t in texts]
+            label = np.where(there, weak_label(x), -1) if len(texts) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.int32()), pa.array([r.tolist() if t else None for r, t in zip(x, there, strict=True)], pa.list_(pa.float32()))], names=["id", "host", "label", "x"])
 
     return run
 
 
-def _score_pages(odds: dict[str, float], forest: Forest | None):
+def _score_pages(forest: Forest | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            x = _matrix(texts, odds)
-            p = forest.predict(x) if forest else np.maximum(x[:, _F["url_share"]], x[:, _F["hashtag_share"]])
-            p = np.where([bool(t) and not t.isspace() for t in texts], p, 0.0)
+            rows = batch.column(2).to_pylist()
+            there = np.array([r is not None for r in rows], bool)
+            p = np.zeros(len(rows))
+            if there.any():
+                x = np.array([r for r in rows if r is not None], float)
+                p[there] = forest.predict(x) if forest else np.maximum(x[:, _F["url_share"]], x[:, _F["hashtag_share"]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], names=["id", "host", "page_score"])
 
     return run
@@ -267,8 +319,10 @@ def score_pages(pages: DataFrame, id_column: str, text_column: str, host_column:
     spam to the rules, the share of links and tags is the score.  An empty table gives no rows.
     """
     odds = word_odds(pages, text_column)
-    weak = pages.select(F.col(text_column).alias("text")).mapInArrow(_label_pages(odds), "label int, x array<double>")
-    weak = stage(weak, "spam-weak-labels")
+    kind = pages.schema[id_column].dataType.simpleString()
+    rows = pages.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.col(text_column).alias("text"))
+    measured = stage(rows.mapInArrow(_measure_pages(odds), f"id {kind}, host string, label int, x array<float>"), "spam-features")
+    weak = measured.where("label >= 0").select("label", "x")
     sizes = {r.label: r["count"] for r in weak.groupBy("label").count().collect()}
     forest = None
     if len(sizes) == 2:
@@ -279,9 +333,7 @@ def score_pages(pages: DataFrame, id_column: str, text_column: str, host_column:
         x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows])
         if 0 < y.sum() < len(y):
             forest = Forest(x, y)
-    kind = pages.schema[id_column].dataType.simpleString()
-    scored = pages.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.col(text_column).alias("text"))
-    scored = stage(scored.mapInArrow(_score_pages(odds, forest), f"id {kind}, host string, page_score double"), "spam-scores")
+    scored = stage(measured.select("id", "host", "x").mapInArrow(_score_pages(forest), f"id {kind}, host string, page_score double"), "spam-scores")
     total = scored.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("page_score") > 0.5).cast("int")), F.lit(0)).alias("spam")).collect()[0]
     base = (total.spam + 1) / (total.n + 2)
     hosts = scored.where("host is not null").groupBy("host").agg(((F.sum((F.col("page_score") > 0.5).cast("int")) + base * prior) / (F.count("*") + prior)).alias("host_rate"))
