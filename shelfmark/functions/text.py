@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .tags import trimmed
 
@@ -100,7 +101,7 @@ def first_object(raw: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """``first_object`` of each text; brace matching is no regular language."""
     for s in texts:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import trimmed
+from ..runtime import stage
 
 IMAGE_TYPES = ("image/jpeg", "image/png", "image/webp", "image/avif")
 VIDEO_TYPES = ("video/mp4", "video/quicktime", "video/webm", "video/x-matroska")
@@ -76,16 +77,28 @@ def new_contents(files: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.groupBy("digest").agg(F.min_by(F.struct(*[c for c in files.columns if c != "digest"]), "upload_id").alias("f")).select("digest", "f.*")
 
 
+def numbered(rows: DataFrame, order: str, start: int) -> DataFrame:
+    """``rows`` with consecutive ``number`` from ``start`` in the order of a column, without gathering them in one task.
+
+    The rows are range-partitioned and staged; the driver adds up one count per partition.
+    """
+    ranged = stage(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "numbered")
+    offsets, at = [], start
+    for r in ranged.groupBy("_part").count().orderBy("_part").collect():
+        offsets.append((r._part, at))
+        at += r["count"]
+    sizes = rows.sparkSession.createDataFrame(offsets, "_part int, _offset bigint")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(sizes), "_part").withColumn("number", F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+
+
 def ingest_images(images: DataFrame, jobs: DataFrame, files: DataFrame, model_id: int, now: Column) -> tuple[DataFrame, DataFrame]:
     """New image rows and the embed jobs still missing, for ``files`` (upload_id, digest, original_name, mime_type, width, height).
 
     Ids follow the largest one; a known digest makes no new row but still gets a missing job.
     """
-    from pyspark.sql import Window
-
-    fresh = new_contents(files, images)
-    top = images.agg(F.coalesce(F.max("image_id"), F.lit(0)).alias("top"))
-    rows = fresh.crossJoin(F.broadcast(top)).withColumn("image_id", F.col("top") + F.row_number().over(Window.orderBy("upload_id")))
+    top = images.agg(F.coalesce(F.max("image_id"), F.lit(0))).collect()[0][0]
+    rows = numbered(new_contents(files, images), "upload_id", top + 1).withColumnRenamed("number", "image_id")
     rows = rows.select("image_id", F.col("digest").alias("sha256"), "original_name", F.concat(F.lit("images/"), "digest").alias("storage_path"), "mime_type", "width", "height", now.alias("created_at"), F.lit("").alias("description"), F.lit("[]").alias("tags_json"))
     known = images.join(files.select(F.col("digest").alias("sha256")), "sha256", "left_semi").select("image_id").unionByName(rows.select("image_id"))
     there = jobs.where((F.col("kind") == "embed_image") & (F.col("model_id") == model_id)).select("image_id")
@@ -93,6 +106,30 @@ def ingest_images(images: DataFrame, jobs: DataFrame, files: DataFrame, model_id
     return rows, missing
 
 
+def ingest_videos(videos: DataFrame, files: DataFrame, model_id: int, now: Column, frame_count: int = 10) -> dict[str, DataFrame]:
+    """New video rows, the times of their frames, and their jobs, for ``files`` (upload_id, digest, original_name, mime_type, duration_ms, width, height).
+
+    A known digest adds nothing at all.
+    """
+    top = videos.agg(F.coalesce(F.max("video_id"), F.lit(0))).collect()[0][0]
+    rows = numbered(new_contents(files, videos), "upload_id", top + 1).withColumnRenamed("number", "video_id")
+    new = rows.select("video_id", F.col("digest").alias("sha256"), "original_name", F.concat(F.lit("videos/"), "digest").alias("storage_path"), "mime_type", "duration_ms", "width", "height", F.lit(frame_count).alias("frame_count"), now.alias("created_at"), F.lit("").alias("transcript_text"), F.lit("").alias("description"), F.lit("[]").alias("tags_json"))
+    kinds = F.explode(F.array(F.lit("transcribe_video"), F.lit("annotate_video"))).alias("kind")
+    return {"videos": new, "times": sample_times(new.select("video_id", "duration_ms"), frame_count), "jobs": new.select(kinds, "video_id", F.lit(model_id).cast("bigint").alias("model_id"), F.lit("pending").alias("state"))}
+
+
+def ingest_frames(images: DataFrame, jobs: DataFrame, frames: DataFrame, model_id: int, now: Column) -> dict[str, DataFrame]:
+    """Image rows, embed jobs and frame rows for sampled ``frames`` (upload_id, video_id, frame_index, timestamp_ms, digest, width, height).
+
+    A frame whose picture is stored already shares that image.
+    """
+    named = frames.withColumns({"original_name": F.concat(F.lit("frame_"), "frame_index", F.lit(".jpg")), "mime_type": F.lit("image/jpeg")})
+    new, missing = ingest_images(images, jobs, named.select("upload_id", "digest", "original_name", "mime_type", "width", "height"), model_id, now)
+    ids = images.select("image_id", F.col("sha256").alias("digest")).unionByName(new.select("image_id", F.col("sha256").alias("digest")))
+    rows = frames.join(ids, "digest").select("video_id", "image_id", "frame_index", "timestamp_ms")
+    return {"images": new, "jobs": missing, "video_frames": rows}
+
+
 def sample_times(videos: DataFrame, n: int = 10) -> DataFrame:
     """``video_id, place, timestamp_ms``: ``n`` evenly spread times within each video; all 0 where the duration is not positive."""
     d = F.col("duration_ms")

@@ -92,11 +92,16 @@ def seed_frame(lib: Library, video: DataFrame) -> DataFrame:
     return having.orderBy("frame_index", "image_id").limit(1).select("image_id", F.col("video_id").alias("seed_video"))
 
 
-def feedback_means(lib: Library, ids: DataFrame, seed: DataFrame, seen: DataFrame) -> DataFrame:
-    """One row ``mean`` (null without usable ids) of the vectors of frames of seen videos, the seed left out."""
-    allowed = lib.frames.join(F.broadcast(seen.select("video_id").distinct()), "video_id", "left_semi").select("image_id").distinct()
+def usable_feedback(lib: Library, ids: DataFrame, seed: DataFrame, seen: DataFrame) -> DataFrame:
+    """``image_id, vector`` of those ``ids`` that are frames of seen videos and have a vector, the seed left out."""
+    allowed = lib.frames.join(seen.select("video_id").distinct(), "video_id", "left_semi").select("image_id").distinct()
     chosen = ids.select("image_id").distinct().join(allowed, "image_id", "left_semi").join(seed.select("image_id"), "image_id", "left_anti")
-    rows = lib.embeddings().join(F.broadcast(chosen), "image_id", "left_semi").withColumn("one", F.lit(1))
+    return lib.embeddings().join(chosen, "image_id", "left_semi")
+
+
+def feedback_means(lib: Library, ids: DataFrame, seed: DataFrame, seen: DataFrame) -> DataFrame:
+    """One row ``mean`` (null without usable ids) of the vectors that feedback names."""
+    rows = usable_feedback(lib, ids, seed, seen).withColumn("one", F.lit(1))
     mean = mean_vector(rows, ["one"], "vector")
     return ids.sparkSession.range(1).select(F.lit(1).alias("one")).join(mean, "one", "left").select("mean")
 

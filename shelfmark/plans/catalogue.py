@@ -347,6 +347,43 @@ def _similar_videos_feedback(lib):
     return _shown(search.similar_videos(lib, _seed_video(lib), seen=[1, 2, 3], liked=[10, 20], skipped=[30]))
 
 
+@register(
+    "video_feedback_queries",
+    f"""WITH {O.BASE}, {_UNIT}, p AS (SELECT video_id, unnest(range(64)) AS pos, unnest(unit) AS x FROM u), a AS (SELECT video_id, pos, avg(x) AS x FROM p GROUP BY ALL), m AS (SELECT video_id, list(x ORDER BY pos) AS mean FROM a GROUP BY 1),
+    s AS (SELECT video_id, arg_min(image_id, (frame_index, image_id)) AS image_id FROM video_frames JOIN emb USING (image_id) GROUP BY video_id),
+    q AS (SELECT video_id, list_transform(e.vector, lambda x: x / sqrt(list_sum(list_transform(e.vector, lambda y: y * y)))) AS unit, list_transform(mean, lambda x: 0.35 * x) AS delta FROM s JOIN emb e USING (image_id) JOIN m USING (video_id)),
+    d AS (SELECT *, sqrt(list_sum(list_transform(delta, lambda x: x * x))) AS length FROM q),
+    n AS (SELECT video_id, list_transform(list_zip(unit, delta), lambda z: z[1] + z[2] * CASE WHEN length > 0.35 THEN 0.35 / length ELSE 1 END) AS moved FROM d)
+    SELECT video_id, round(moved[1] / sqrt(list_sum(list_transform(moved, lambda x: x * x))), 4) AS first FROM n""",
+)
+def _feedback_queries(lib):
+    means = V.mean_vector(lib.frames.join(lib.embeddings(), "image_id"), ["video_id"], "vector")
+    seeds = _seed_frames(lib).join(lib.embeddings(), "image_id").select("video_id", "vector")
+    moved = V.feedback_query(F.col("vector"), F.col("mean"), F.lit(None).cast("array<double>"))
+    return seeds.join(means, "video_id").select("video_id", F.round(moved[0].cast("double"), 4).alias("first"))
+
+
+@register("feedback_vectors", f"WITH {O.BASE}, {_SEEDF} SELECT DISTINCT image_id FROM video_frames JOIN emb USING (image_id) WHERE (video_id % 3 = 1 OR video_id = {O.SEED_VIDEO}) AND image_id % 4 = 2 AND image_id NOT IN (SELECT image_id FROM sf)")
+def _feedback_vectors(lib):
+    seen = lib.videos.where("video_id % 3 = 1").select("video_id").unionByName(_seed_video(lib))
+    ids = lib.images.where("image_id % 4 = 2").select("image_id")
+    return search.usable_feedback(lib, ids, search.seed_frame(lib, _seed_video(lib)), seen).select("image_id")
+
+
+@register(
+    "buffer_rerank",
+    f"""WITH {O.BASE}, hits AS ({O.neighbours(O.QUERY_IMAGE, 100)}), b AS (SELECT h.rank - 1 AS position, h.image_id, h.distance, {O.normalized("i.tags")} AS tags FROM hits h JOIN img i USING (image_id)),
+    s AS (SELECT *, greatest(-0.08, least(0.08, 0.02 * (list_contains(tags, 'outdoor')::INT * 3.0 - list_contains(tags, 'indoor')::INT * 1.5))) - distance AS score FROM b),
+    m AS (SELECT position, image_id, row_number() OVER (ORDER BY score DESC, position) + 4 AS place FROM s WHERE position >= 5)
+    SELECT position, image_id, place FROM m UNION ALL SELECT position, image_id, position FROM s WHERE position < 5""",
+)
+def _buffer_rerank(lib):
+    hits = index.search(lib.embeddings(), _query(lib), 100)
+    items = lib.images.select("image_id", "tags").join(F.broadcast(hits), "image_id").select((F.col("rank") - 1).alias("position"), "image_id", "distance", "tags")
+    scores = lib.spark.createDataFrame([("outdoor", 3.0), ("indoor", -1.5)], "tag string, score double")
+    return search.buffer_rerank(items, scores, 3).select("position", "image_id", F.col("order").alias("place"))
+
+
 # --- lists -------------------------------------------------------------------------------------
 
 _IMAGE_LIST = f"""WITH {O.BASE}, l AS (SELECT i.image_id, i.original_name, coalesce(j.state, 'pending') AS index_state FROM img i LEFT JOIN index_jobs j ON j.image_id = i.image_id AND j.model_id = 1 AND j.kind = 'embed_image'
