@@ -109,7 +109,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     units = units.where("strange = 0").select("key", "doc_id", counts.alias("counts"))
     labelled = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x)
     # the text of a unit is that of its first document
-    texts = stage(units.join(rows.select("doc_id", "text"), "doc_id").withColumn("labelled", labelled), "mix-texts")
+    first = rows.select("doc_id", F.sha2("text", 256).alias("key"), "text").join(units.select("doc_id", "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).drop("doc_id")
+    texts = stage(units.join(first, "key").withColumn("labelled", labelled), "mix-texts")
     tokens = stage(count_tokens(texts, "key", "text", folder=folder), "mix-tokens")
 
     sample = texts.where(F.array_max("counts") == F.col("labelled")).where("labelled > 0").orderBy("key").limit(SAMPLE).select("text", F.expr("array_position(counts, array_max(counts))").alias("place")).collect()

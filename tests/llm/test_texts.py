@@ -121,6 +121,7 @@ def _mix_tables(spark):
         s = rng.choices(["web", "Notes ", "talk"], weights=[6, 1, 3])[0]
         rows.append((k, f"{s} " + " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(3, 30))) + f" {k}", s, 9))
     rows += [(700 + k, "the very same text", "web", 9) for k in range(300)]
+    rows += rows[:50]
     rows += [(1100, None, "web", 9), (1101, "", "talk", 9), (1102, "no source here", None, 9), (1103, "other", "elsewhere", 9), (1104, "web alpha beta", None, 9)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_tokens int")
     targets = spark.createDataFrame([("WEB", 3.0, 1), ("notes", 1.0, 4), ("talk", 1.0, 2), ("missing", 1.0, 3), (None, 1.0, 1), ("notes", None, 5)], "source string, weight double, max_repeats int")
