@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a staged table."""
-    return f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -66,6 +66,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all staged tables of this application; results that read them must have been written before."""
+    discard(spark, f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
+
+
 _SHIPPED: set[str] = set()
 
 
