@@ -39,7 +39,7 @@ _FUNCTION = frozenset(
     al como con de del desde el ella en es esta este la las lo los más no para pero por que se su un una y
     ao aos as com da das do dos e em mas na nas no nos o os ou para pelo que se sem seu sua um uma""".split()
 )
-_URL = regex.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*|\b[\w-]+(?:\.[\w-]+)+(?=\s|$)", regex.I)
+_URL = regex.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*|\b[\w-]{2,}(?:\.[\w-]+)*\.[a-z]{2,}(?=[\s|,;·)\]]|$)", regex.I)
 _HASHTAG = re.compile(r"(?<!\S)#\S+")
 _LINKED = re.compile(r"[\w-]\.[\w-]")
 _DIGIT = re.compile(r"\d")
@@ -149,9 +149,10 @@ _F = {name: k for k, name in enumerate(FEATURES)}
 
 def seed_label(x: np.ndarray) -> np.ndarray:
     """1 spam, 0 none, -1 no opinion, from the features that need no word odds."""
-    names = ("url_share", "hashtag_share", "repeated_share", "function_share", "sentence_share", "log_words", "ends_per_word")
-    url, tags, rep, fun, sent, words, ends = (x[:, _F[n]] for n in names)
-    listed = (rep > 0.6) & (fun < 0.25) & (ends < 0.02) & (words > math.log1p(14))
+    names = ("url_share", "hashtag_share", "repeated_share", "function_share", "sentence_share", "log_words", "ends_per_word", "digit_share")
+    url, tags, rep, fun, sent, words, ends, digits = (x[:, _F[n]] for n in names)
+    # menus, recipes and price lists repeat words too, but every line has its number
+    listed = (rep > 0.6) & (fun < 0.25) & (ends < 0.02) & (digits < 0.03) & (words > math.log1p(14))
     linked = (url > 0.6) | ((tags > 0.6) & (words > -1))
     plain = (url < 0.05) & (tags < 0.02) & (((fun > 0.2) & (sent > 0.8)) | ((rep < 0.05) & (words > -1)))
     return np.where(listed | linked, 1, np.where(plain, 0, -1))
@@ -162,7 +163,7 @@ def weak_label(x: np.ndarray) -> np.ndarray:
     seed = seed_label(x)
     stuffed, words = x[:, _F["stuffed_share"]], x[:, _F["hot_word_share"]]
     spam = (stuffed > 0.65) | (seed == 1)
-    clean = (seed != 1) & (stuffed < 0.35) & (words < 0.12) & (x[:, _F["repeated_share"]] < 0.6)
+    clean = (seed != 1) & (stuffed < 0.45) & (words < 0.12) & ((x[:, _F["repeated_share"]] < 0.6) | (x[:, _F["digit_share"]] > 0.05))
     return np.where(spam, 1, np.where(clean, 0, -1))
 
 
