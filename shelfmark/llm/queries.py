@@ -160,4 +160,10 @@ SQL = {
     "p1_tag_counts": f"{_COUNTS} SELECT tag, n_occurrences, n_images, mark FROM m",
     "p3_found": f"{_PAIRS} SELECT tag_a, tag_b FROM x WHERE 2000 * n_ab >= n AND n_ab::HUGEINT * n >= 4::HUGEINT * n_a * n_b",
     "p3_pairs": f"{_PAIRS} SELECT tag_a, tag_b, n_a, n_b, n_ab, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b::DOUBLE), 6) AS lift FROM x",
+    "p5_found": """
+      WITH n AS (SELECT image_id, vector, row_number() OVER (PARTITION BY image_id ORDER BY updated_at DESC NULLS LAST, vector DESC NULLS LAST) AS rn FROM image_embeddings WHERE model_id = 1),
+      u AS (SELECT image_id, vector::DOUBLE[] AS v FROM n WHERE rn = 1 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+      d AS (SELECT a.image_id AS a, b.image_id AS b, 1 - list_cosine_similarity(a.v, b.v) AS d FROM u a JOIN u b ON a.image_id <> b.image_id),
+      r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rn FROM d)
+      SELECT DISTINCT least(a, b) AS image_id_a, greatest(a, b) AS image_id_b FROM r WHERE rn <= 5 AND d <= 0.1""",
 }
