@@ -8,8 +8,8 @@ swapped axes are.  Buckets compare 8-bit copies of the vectors; the best candida
 are reranked with the exact distance 1 - cosine of the stored vectors.
 
 Equal vectors are gathered first and hashed once, so a group of copies of any size is one point.
-A bucket of more than ``block`` rows is split: stored rows go to one of its parts, queries to all
-of them, so no task receives an unbounded bucket and no pair is lost.
+A bucket of more than ``block`` rows is split into a grid of cells: a stored row goes to the cells
+of one row, a query to those of one column, so no cell is unbounded and no pair is lost.
 """
 
 from __future__ import annotations
@@ -269,19 +269,23 @@ def nearest(
 def _finish(vectors, copies, hashed, dim, k, max_distance, queries, block) -> DataFrame:
     spark = vectors.sparkSession
     hashed = stage(hashed, "vector-buckets")
-    sizes = hashed.where(F.col("role").bitwiseAND(STORED) > 0).groupBy("bucket").count().where(F.col("count") > block)
-    # At most (stored rows) / block buckets are hot, whatever the data.
-    hot = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    stores, asks = F.col("role").cast("int").bitwiseAND(STORED) > 0, F.col("role").cast("int").bitwiseAND(QUERY) > 0
+    sizes = hashed.groupBy("bucket").agg(F.count_if(stores).alias("stored"), F.count_if(asks).alias("asking"))
+    # At most 2 * (rows) / block buckets are hot, whatever the data.
+    hot = sizes.where((F.col("stored") > block) | (F.col("asking") > block))
+    cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+    hot = hot.select("bucket", cut("stored").alias("down"), cut("asking").alias("across"))
     split = hashed.join(F.broadcast(hot), "bucket", "left")
-    role = F.col("role").cast("int")
-    spread = F.when(parts == 1, F.array(F.struct(F.lit(0).alias("part"), role.alias("role")))).otherwise(
-        F.concat(
-            F.when(role.bitwiseAND(STORED) > 0, F.array(F.struct(own.alias("part"), F.lit(STORED).alias("role")))).otherwise(F.array().cast("array<struct<part:int,role:int>>")),
-            F.when(role.bitwiseAND(QUERY) > 0, F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(p.alias("part"), F.lit(QUERY).alias("role")))).otherwise(F.array().cast("array<struct<part:int,role:int>>")),
-        )
+    # A hot bucket is a grid: a stored row goes to all cells of its row, a query to all cells of its column.
+    down, across = F.col("down"), F.col("across")
+    own_row, own_column = F.pmod(F.xxhash64("id"), down).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), across).cast("int")
+    cell = lambda i, role: F.struct(i.cast("int").alias("part"), F.lit(role).alias("role"))
+    none = F.array().cast("array<struct<part:int,role:int>>")
+    grid = F.concat(
+        F.when(stores, F.transform(F.sequence(F.lit(0), across - 1), lambda j: cell(own_row * across + j, STORED))).otherwise(none),
+        F.when(asks, F.transform(F.sequence(F.lit(0), down - 1), lambda i: cell(i * across + own_column, QUERY))).otherwise(none),
     )
+    spread = F.when(down.isNull(), F.array(F.struct(F.lit(0).alias("part"), F.col("role").cast("int").alias("role")))).otherwise(grid)
     rows = split.select("bucket", F.explode(spread).alias("x"), "id", "code").select("bucket", F.col("x.part").alias("part"), "id", F.col("x.role").cast("tinyint").alias("role"), "code")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
