@@ -29,8 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     Raises ValueError on a cluster whose session names no shared folder, because a
     machine-local folder would not be seen by the other executors.
     """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
