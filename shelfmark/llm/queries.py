@@ -84,11 +84,9 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import source_name
-    from .toxicity import score_texts
 
     documents = read_table(spark, sf_dir, "documents")
-    rows = documents.select(F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), "text")
-    flagged = score_texts(rows, _toxicity(spark, sf_dir)).select("rec_id", (F.col("score") >= 0.5).cast("int").alias("case"))
+    flagged = p2_scores(spark, sf_dir).where("rec_kind = 'document'").select("rec_id", (F.col("score") >= 0.5).cast("int").alias("case"))
     sources = documents.select(F.col("doc_id").alias("rec_id"), source_name(F.col("source")).alias("source"))
     return sources.join(flagged, "rec_id").groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("case").alias("n_cases"), F.avg("case").alias("rate"))
 

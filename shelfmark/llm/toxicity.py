@@ -11,7 +11,7 @@ its worst window.
 Training uses labelled texts.  Of a text with a bad label only the worst windows are bad, which
 is found in rounds: score the windows with what is known, take each text's worst ones, fit anew.
 Labels that held-out models contradict firmly are set aside, and the threshold is the one that
-does best on held-out texts.
+does best on held-out labelled texts at the rate of bad texts among all that are scored.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stage
+
 #: Characters of a window, lengths of the n-grams, bits of a hashed n-gram.
 WINDOW, ORDERS, BITS = 80, (3, 4, 5), 19
 #: Most labelled texts that the classifier is fitted on, of either kind, and most windows taken from each.
 SAMPLE_BAD, SAMPLE_GOOD, SAMPLE_WINDOWS = 1000, 4000, 16
-#: The share of unlabelled texts that may be bad, at most.
-MOST_BAD = 0.06
+#: The log-odds from which a text counts as bad when their rate is estimated.
+COUNTED = 2.0
 #: Most texts without a label that show what is usual; only windows chosen by lot are taken from them.
 SAMPLE_USUAL = 3000
 BAD_LABELS = ("abusive", "hateful", "sexual")
@@ -84,10 +86,17 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights by bucket, a bias, and the threshold of a case."""
+    """Weights by bucket, a bias, the threshold of a case, and the held-out scores and labels it is taken from."""
 
-    def __init__(self, weights: np.ndarray, bias: float, threshold: float) -> None:
+    def __init__(self, weights: np.ndarray, bias: float, threshold: float, held: np.ndarray | None = None, label: np.ndarray | None = None) -> None:
         self.weights, self.bias, self.threshold = weights.astype(np.float32), float(bias), float(threshold)
+        self.held, self.label = held, label
+
+    def threshold_at(self, bad: int, n: int) -> float:
+        """The threshold where ``bad`` of ``n`` texts look bad."""
+        if self.held is None or not n:
+            return self.threshold
+        return _best_threshold(self.held, self.label, (bad + 0.5) / (n + 1))
 
     def window_scores(self, points: np.ndarray) -> np.ndarray:
         """The score of the window that starts at each position; n-grams that touch a break weigh nothing."""
@@ -259,12 +268,8 @@ def train(texts: list[str | None], labels: list[bool], usual: list[str | None] =
         usable = ~(((label > 0) & (held < firm)) | ((label == 0) & (held > 3)))
     weights = _learn(windows, label, np.flatnonzero(usable))
     judged = usable & (label >= 0)
-    # the rate of bad texts among unlabelled ones, which reviewers do not see in that proportion
-    rate = np.mean(held[label < 0] > 2) if (label < 0).sum() >= 100 else np.mean(label[judged] > 0)
-    threshold = _best_threshold(held[judged], label[judged], min(max(float(rate), 0.01), MOST_BAD))
-    if (label < 0).any():  # few labels make a poor threshold; unlabelled texts bound it
-        threshold = max(threshold, float(np.quantile(held[label < 0], 1 - MOST_BAD)))
-    return Model(weights, PRIOR, threshold)
+    held, label = held[judged], label[judged]
+    return Model(weights, PRIOR, _best_threshold(held, label, (label.sum() + 0.5) / (len(label) + 1)), held, label)
 
 
 def usual_texts(documents: DataFrame, reviews: DataFrame) -> list[str]:
@@ -296,9 +301,8 @@ def _score(model_in):
                     out.append(model.scores(texts[start : k + 1]))
                     start, size = k + 1, 0
             score = np.concatenate(out) if out else np.zeros(0)
-            shown = 1 / (1 + np.exp(-np.clip(score - model.threshold, -30, 30)))
-            shown[[not t for t in texts]] = 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shown, pa.float64())], names=["rec_kind", "rec_id", "score"])
+            blank = np.array([not t for t in texts], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64(), mask=blank)], names=["rec_kind", "rec_id", "odds"])
 
     return run
 
@@ -306,9 +310,13 @@ def _score(model_in):
 def score_texts(texts: DataFrame, model: Model) -> DataFrame:
     """``rec_kind, rec_id, score`` of ``texts`` (rec_kind, rec_id, text), one row per row.
 
-    A score of at least 0.5 marks a case.  Null, empty and blank texts score 0; an empty table
+    A score of at least 0.5 marks a case.  The threshold follows the rate of bad texts among all
+    of ``texts``, which are scored once.  Null, empty and blank texts score 0; an empty table
     gives no rows.  Whole texts are read, however long.
     """
     sent = texts.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats
     rows = texts.select(F.col("rec_kind").cast("string"), F.col("rec_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(_score(sent), "rec_kind string, rec_id bigint, score double")
+    scored = stage(rows.mapInArrow(_score(sent), "rec_kind string, rec_id bigint, odds double"), "text-scores")
+    seen = scored.agg(F.count("odds").alias("n"), F.count_if(F.col("odds") > COUNTED).alias("bad")).collect()[0]
+    above = F.least(F.greatest(F.col("odds") - model.threshold_at(seen.bad, seen.n), F.lit(-30.0)), F.lit(30.0))
+    return scored.select("rec_kind", "rec_id", F.when(F.col("odds").isNull(), 0.0).otherwise(1 / (1 + F.exp(-above))).alias("score"))

@@ -71,6 +71,16 @@ def test_held_out_accuracy(spark):
     assert toxicity.score_texts(df.limit(0), model).collect() == []
 
 
+def test_a_third_of_the_texts_is_bad(spark):
+    texts, labels = _abuse(2000, 3)
+    bad, good = ([t for t, b in zip(texts, labels, strict=True) if b is x] for x in (True, False))
+    rows = [("d", k, t) for k, t in enumerate(bad + good[: 2 * len(bad)])]
+    model = toxicity.train(*_abuse(500, 1), random.Random(4).sample([t for _, _, t in rows], 600))
+    got = {r.rec_id: r.score >= 0.5 for r in toxicity.score_texts(spark.createDataFrame(rows, "rec_kind string, rec_id bigint, text string"), model).collect()}
+    assert sum(got[k] for k in range(len(bad))) >= 0.95 * len(bad)
+    assert sum(got[k] for k in range(len(bad), len(rows))) <= 0.03 * 2 * len(bad)
+
+
 def test_no_labels_no_cases():
     model = toxicity.train([], [])
     assert (model.scores(["anything"]) < model.threshold).all()
