@@ -29,7 +29,7 @@ from ..runtime import stage
 
 #: Characters of a window, lengths of the n-grams, bits of a hashed n-gram.
 WINDOW, ORDERS, BITS = 80, (3, 4, 5), 19
-#: Most labelled texts that the classifier is fitted on, of either kind, and most windows taken from each.
+#: Most labelled texts that the classifier is fitted on, of either kind, and most windows taken from each (of bad ones the worst).
 SAMPLE_BAD, SAMPLE_GOOD, SAMPLE_WINDOWS = 1000, 4000, 16
 #: The log-odds from which a text counts as bad when their rate is estimated.
 COUNTED = 2.0
@@ -119,25 +119,41 @@ class Model:
         return score
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """The log-odds of each text's worst window."""
-        if not texts:
-            return np.zeros(0)
-        points, starts = _points(texts)
-        return np.maximum.reduceat(self.window_scores(points), starts[:-1]) + self.bias
+        """The log-odds of each text's worst window; texts are joined up to a million characters at a time."""
+        out, start, size = [np.zeros(0)], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t) + WINDOW + 2
+            if size > 1_000_000 or k + 1 == len(texts):
+                points, starts = _points(texts[start : k + 1])
+                out.append(np.maximum.reduceat(self.window_scores(points), starts[:-1]) + self.bias)
+                start, size = k + 1, 0
+        return np.concatenate(out)
+
+
+def _window_starts(n: int) -> np.ndarray:
+    """Starts of the windows of a text of ``n`` code points, a quarter of a window apart; the last ends with the text."""
+    starts = np.arange(0, max(n - WINDOW, 0) + 1, WINDOW // 4)
+    return np.append(starts, n - WINDOW) if n > WINDOW and starts[-1] + WINDOW < n else starts
 
 
 class _Windows:
-    """Windows of labelled texts as lists of buckets."""
+    """Windows of texts as lists of buckets.
 
-    def __init__(self, texts: list[str], rng: np.random.Generator) -> None:
+    Of a text with more than SAMPLE_WINDOWS windows so many are held, first by lot.  For those with
+    a bad label ``choose`` takes the worst of all their windows instead.
+    """
+
+    def __init__(self, texts: list[str], bad: np.ndarray, rng: np.random.Generator) -> None:
         owner, rows = [], []
+        self.long: dict[int, str] = {}
+        self.first: dict[int, int] = {}
         for k, t in enumerate(texts):
-            points = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-            starts = np.arange(0, max(len(points) - WINDOW, 0) + 1, WINDOW // 4)
-            if len(points) > WINDOW and starts[-1] + WINDOW < len(points):
-                starts = np.append(starts, len(points) - WINDOW)
+            points = self._text_points(t)
+            starts = _window_starts(len(points))
             if len(starts) > SAMPLE_WINDOWS:
                 starts = np.sort(rng.choice(starts, SAMPLE_WINDOWS, replace=False))
+                if bad[k]:
+                    self.long[k], self.first[k] = t, len(rows)
             for s in starts:
                 part = points[s : s + WINDOW]
                 owner.append(k)
@@ -148,6 +164,48 @@ class _Windows:
         self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
 
+    @staticmethod
+    def _text_points(text: str) -> np.ndarray:
+        return np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """How often each bucket occurs in the chosen windows."""
+        out = np.zeros(1 << BITS, np.int64)
+        for at in range(0, len(rows), 8192):
+            out += np.bincount(self.take(rows[at : at + 8192])[0], minlength=1 << BITS)
+        return out
+
+    def all_counts(self, texts: np.ndarray) -> np.ndarray:
+        """How often each bucket occurs in all windows of the long bad ones of ``texts``."""
+        out = np.zeros(1 << BITS, np.int64)
+        for k in np.intersect1d(texts, list(self.long)):
+            points = self._text_points(self.long[k])
+            starts = _window_starts(len(points))
+            for order in ORDERS:
+                buckets = ngram_buckets(points, order)
+                # in how many windows the n-gram at each position lies
+                within = np.zeros(len(buckets) + 1, np.int64)
+                np.add.at(within, starts, 1)
+                np.add.at(within, starts + WINDOW - order + 1, -1)
+                out += np.bincount(buckets, weights=np.cumsum(within)[:-1], minlength=1 << BITS).astype(np.int64)
+        return out
+
+    def choose(self, weights: np.ndarray, texts: np.ndarray) -> None:
+        """Hold the worst windows of each long bad one of ``texts``, out of all its windows."""
+        weights = weights.astype(np.float32)
+        for k in np.intersect1d(texts, list(self.long)):
+            points = self._text_points(self.long[k])
+            starts = _window_starts(len(points))
+            buckets = [ngram_buckets(points, o) for o in ORDERS]
+            score = np.zeros(len(starts))
+            for order, b in zip(ORDERS, buckets, strict=True):
+                total = np.concatenate([[0.0], np.cumsum(weights[b], dtype=np.float64)])
+                score += total[starts + WINDOW - order + 1] - total[starts]
+            worst = starts[np.sort(np.argsort(-score, kind="stable")[:SAMPLE_WINDOWS])]
+            rows = np.concatenate([b[s : s + WINDOW - o + 1] for s in worst for o, b in zip(ORDERS, buckets, strict=True)])
+            at = self.starts[self.first[k]]
+            self.flat[at : at + len(rows)] = rows
+
     def score(self, weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(weights.astype(np.float32)[self.flat], self.starts).astype(np.float64)
 
@@ -165,10 +223,8 @@ FOLDS = 4
 PRIOR = -2.0
 
 
-def _ratios(flat: np.ndarray, place: np.ndarray, y: np.ndarray, alpha: float = 0.5) -> np.ndarray:
-    """Naive Bayes log-count ratio of each bucket; 0 for buckets not seen."""
-    bad = (y > 0)[place]
-    p, q = np.bincount(flat[bad], minlength=1 << BITS), np.bincount(flat[~bad], minlength=1 << BITS)
+def _ratios(p: np.ndarray, q: np.ndarray, alpha: float = 0.5) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket from its counts in bad and other windows; 0 for buckets not seen."""
     ratio = np.log((p + alpha) / (p + alpha).sum()) - np.log((q + alpha) / (q + alpha).sum())
     ratio[p + q == 0] = 0
     return ratio
@@ -204,20 +260,18 @@ def _learn(windows: _Windows, label: np.ndarray, texts: np.ndarray, rounds: int
     """Weights from the windows of ``texts`` (indices), choosing the bad windows of bad texts in rounds."""
     mine = np.isin(windows.owner, texts)
     bad = label[windows.owner] > 0
-    everything = np.flatnonzero(mine)
-    flat, place = windows.take(everything)
-    ratio = _ratios(flat, place, bad[everything].astype(float))
-    weights = ratio / 20
+    short = ~np.isin(windows.owner, list(windows.long))
+    others = windows.counts(np.flatnonzero(mine & ~bad))
+    weights = _ratios(windows.counts(np.flatnonzero(mine & bad & short)) + windows.all_counts(texts), others) / 20
     for _ in range(rounds):
+        windows.choose(weights, texts)
         score = windows.score(weights)
         worst = _worst(windows, score, len(label))[windows.owner]
         # of a bad text the windows near its worst count as bad; of the others the worst ones tell most
         near = np.where(worst > 0, score >= 0.7 * worst, score >= worst)
         judged = label[windows.owner] == 0
         picked = mine & ((bad & near) | (judged & (score >= worst - 0.5)) | (~bad & (windows.lot < 0.15)))
-        counted = np.flatnonzero(mine & (~bad | near))
-        flat, place = windows.take(counted)
-        ratio = _ratios(flat, place, bad[counted].astype(float))
+        ratio = _ratios(windows.counts(np.flatnonzero(mine & bad & near)), others)
         chosen = np.flatnonzero(picked)
         weights = _fit(*windows.take(chosen), bad[chosen].astype(float), ratio, steps)
     return weights
@@ -252,15 +306,18 @@ def train(texts: list[str | None], labels: list[bool], usual: list[str | None] =
     rng = np.random.default_rng(seed)
     more = sorted({c for t in usual if (c := comparable(t))} - kept.keys())
     label = np.concatenate([label, np.full(len(more), -1)])  # -1: not judged
-    windows = _Windows([t for t, _ in voted] + more, rng)
+    whole = [t for t, _ in voted] + more
+    windows = _Windows(whole, label > 0, rng)
     fold = rng.permutation(len(label)) % FOLDS
     usable = np.ones(len(label), bool)
     held = np.zeros(len(label))
     for k in range(FOLDS):
         part = np.flatnonzero(fold != k)
         if (label[part] > 0).any() and (label[part] == 0).any():
-            worst = _worst(windows, windows.score(_learn(windows, label, part, rounds=1, steps=40)), len(label)) + PRIOR
-            held[fold == k] = worst[fold == k]
+            model = Model(_learn(windows, label, part, rounds=1, steps=40), PRIOR, 0.0)
+            # by the measure that texts are scored with: the worst of all windows
+            out = np.flatnonzero((fold == k) & (label >= 0))
+            held[out] = model.scores([whole[i] for i in out])
     # a firm contradiction by a model that did not see the text: the label is set aside
     if (label > 0).sum() >= 30:
         # where four in five bad texts are found unseen, those not found are taken for wrong labels
@@ -294,13 +351,7 @@ def _score(model_in):
         model = model_in.value
         for batch in batches:
             texts = [comparable(t) for t in batch.column(2).to_pylist()]
-            out, start, size = [], 0, 0
-            for k, t in enumerate(texts):
-                size += len(t) + WINDOW + 2
-                if size > 1_000_000 or k + 1 == len(texts):
-                    out.append(model.scores(texts[start : k + 1]))
-                    start, size = k + 1, 0
-            score = np.concatenate(out) if out else np.zeros(0)
+            score = model.scores(texts)
             blank = np.array([not t for t in texts], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64(), mask=blank)], names=["rec_kind", "rec_id", "odds"])
 

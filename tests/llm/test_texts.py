@@ -81,6 +81,22 @@ def test_a_third_of_the_texts_is_bad(spark):
     assert sum(got[k] for k in range(len(bad), len(rows))) <= 0.03 * 2 * len(bad)
 
 
+def test_long_bad_texts_are_trained_on_their_worst_windows():
+    rng = random.Random(6)
+    calm = lambda n: [f"The {rng.choice(['ladder', 'teapot', 'violin'])} stands near the {rng.choice(['harbour', 'hill', 'garden'])}." for _ in range(n)]
+    texts, labels = [], []
+    for k in range(200):
+        s = calm(150)
+        if k % 4 == 0:  # one attack in about 250 windows
+            s.insert(rng.randint(0, 150), "You worthless thing nobody wants you here, go away and never come back to us.")
+        texts.append(" ".join(s))
+        labels.append(k % 4 == 0)
+    model = toxicity.train(texts, labels)
+    assert len(model.held) == len(labels)  # no right label is set aside
+    assert ((model.held >= model.threshold) == (model.label > 0)).all()
+    assert ((model.scores([toxicity.comparable(t) for t in texts]) >= model.threshold) == np.array(labels)).all()
+
+
 def test_no_labels_no_cases():
     model = toxicity.train([], [])
     assert (model.scores(["anything"]) < model.threshold).all()
