@@ -27,7 +27,7 @@ from ..runtime import stage
 
 #: Most weakly labelled pages that the trees are fitted on.
 SAMPLE = 20_000
-#: Most words with a log-odds that are sent to the workers, those that tell most first.
+#: Up to so many words with a log-odds are sent to the workers; more are joined by shuffle, with equal features.
 SENT_WORDS = 20_000
 
 # Frequent function words of the languages of the library.
@@ -124,16 +124,16 @@ class Page:
 
     def hot(self, odds: dict[str, float]) -> list[float]:
         """The features from the spam log-odds of words."""
-        hot = long = many = k = 0
-        total = 0.0
-        for size, _, own in self.segments:
-            marks = [m for w in own if (m := odds.get(w)) is not None]
-            telling = sum(m > 1 for m in marks)
-            many, total, k, long = many + telling, total + sum(marks), k + len(own), long + size
-            if own and telling >= 0.25 * len(own):
-                hot += size
-        stuffed = self.links + self.tags
-        return [many / max(k, 1), total / max(k, 1), hot / max(long, 1), self.ends(), (hot + stuffed) / max(long + stuffed, 1)]
+        marks = [[m for w in own if (m := odds.get(w)) is not None] for _, _, own in self.segments]
+        sizes, counts = [size for size, _, _ in self.segments], [len(own) for _, _, own in self.segments]
+        return hot_features(sizes, counts, [len(m) for m in marks], [sum(m) for m in marks], self.links + self.tags, self.ends())
+
+
+def hot_features(sizes: list[int], counts: list[int], telling: list[int], totals: list[float], stuffed: float, ends: float) -> list[float]:
+    """The features from the spam log-odds of words, by the size, words, telling words and sum of odds of each segment."""
+    hot = sum(size for size, n, t in zip(sizes, counts, telling, strict=True) if n and t >= 0.25 * n)
+    k, long = max(sum(counts), 1), max(sum(sizes), 1)
+    return [sum(telling) / k, sum(totals) / k, hot / long, ends, (hot + stuffed) / max(sum(sizes) + stuffed, 1)]
 
 
 def page_features(text: str | None, odds: dict[str, float]) -> list[float]:
@@ -236,10 +236,6 @@ class Forest:
         return np.mean([t.predict(binned) for t in self.trees], axis=0)
 
 
-def _matrix(texts: list[str | None], odds: dict[str, float]) -> np.ndarray:
-    return np.array([page_features(t, odds) for t in texts], float).reshape(len(texts), len(FEATURES))
-
-
 def _seed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many spam and clean seed pages each word occurs."""
     counts: dict[str, list[int]] = {}
@@ -265,21 +261,77 @@ def _seed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def word_odds(pages: DataFrame, text_column: str) -> dict[str, float]:
-    """Spam log-odds of the words that tell spam from clean seed pages, over all pages.
+def word_odds(pages: DataFrame, text_column: str) -> DataFrame | None:
+    """``word, odds``: the spam log-odds of all words that tell spam from clean seed pages, over all pages.
 
-    Words in fewer than three spam pages are left out; of the others the ``SENT_WORDS`` with the
-    most spam pages are kept, so what the driver holds and sends has a fixed bound.
+    Words in fewer than three spam pages are left out.  Odds are multiples of 2 ** -20, so that
+    sums of them are the same in any order.  None where no page is spam to the seed rules.
     """
     counted = pages.select(F.col(text_column).alias("text")).mapInArrow(_seed_words, "word string, spam bigint, clean bigint")
     counted = stage(counted.groupBy("word").agg(F.sum("spam").alias("spam"), F.sum("clean").alias("clean")), "spam-words")
     totals = counted.where(F.col("word").isNull()).collect()
     if not totals or not totals[0].spam:
-        return {}
+        return None
     spam, clean = totals[0].spam, totals[0].clean or 0
     odds = F.log((F.col("spam") + 0.5) / (spam + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    rows = counted.where(F.col("word").isNotNull() & (F.col("spam") >= 3)).withColumn("odds", odds).where(F.col("odds") > 1)
-    return {r.word: r.odds for r in rows.orderBy(F.desc("spam"), "word").limit(SENT_WORDS).collect()}
+    rows = counted.where(F.col("word").isNotNull() & (F.col("spam") >= 3)).withColumn("odds", F.round(odds * 1048576) / 1048576)
+    return rows.where(F.col("odds") > 1).select("word", "odds")
+
+
+def _split_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns in: key, id, host, text; out: what the features are made of, and the words of each segment joined by blanks."""
+    for batch in batches:
+        pages = [Page(t) if t and not t.isspace() else None for t in batch.column(3).to_pylist()]
+        made = lambda f, kind: pa.array([f(p) if p else None for p in pages], kind)  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(k) for k in range(3)), made(Page.plain, pa.list_(pa.float64())), made(lambda p: [x[0] for x in p.segments], pa.list_(pa.int64())),
+                made(lambda p: [len(x[2]) for x in p.segments], pa.list_(pa.int64())), made(lambda p: float(p.links + p.tags), pa.float64()), made(Page.ends, pa.float64()),
+                made(lambda p: [" ".join(x[2]) for x in p.segments], pa.list_(pa.string())),
+            ],
+            names=["key", "id", "host", "plain", "sizes", "counts", "stuffed", "ends", "words"],
+        )
+
+
+def _join_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns in: id, host, plain, sizes, counts, stuffed, ends, marks; out: as of ``_measure_pages``."""
+    for batch in batches:
+        rows = []
+        for plain, sizes, counts, stuffed, ends, marks in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+            if plain is None:
+                rows.append(None)
+                continue
+            telling, totals = [0] * len(sizes), [0.0] * len(sizes)
+            for m in marks or ():
+                telling[m["segment"]], totals[m["segment"]] = m["telling"], m["total"]
+            rows.append(plain + hot_features(sizes, counts, telling, totals, stuffed, ends))
+        yield _measured_batch(batch.column(0), batch.column(1), rows)
+
+
+def _measured_batch(ids: pa.Array, hosts: pa.Array, rows: list[list[float] | None]) -> pa.RecordBatch:
+    x = np.array([r or [0.0] * len(FEATURES) for r in rows], float).reshape(len(rows), len(FEATURES))
+    label = np.where([r is not None for r in rows], weak_label(x), -1) if rows else np.zeros(0)
+    return pa.RecordBatch.from_arrays([ids, hosts, pa.array(label, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["id", "host", "label", "x"])
+
+
+def measure_pages(rows: DataFrame, words: DataFrame | None, sent: int = SENT_WORDS) -> DataFrame:
+    """``id, host, label, x`` of ``rows`` (id, host, text): the weak label and the features, none for null and blank texts.
+
+    Up to ``sent`` words are sent to the workers, more are joined to the words of the pages.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, host string, label int, x array<float>"
+    few = words.limit(sent + 1).collect() if words is not None else []
+    if len(few) <= sent:
+        return rows.mapInArrow(_measure_pages({r.word: r.odds for r in few}), schema)
+    keyed = rows.select(F.monotonically_increasing_id().alias("key"), "id", "host", "text")
+    split_schema = f"key bigint, id {kind}, host string, plain array<double>, sizes array<bigint>, counts array<bigint>, stuffed double, ends double, words array<string>"
+    split = stage(keyed.mapInArrow(_split_pages, split_schema), "spam-split")  # keys are fixed from here
+    own = split.select("key", F.posexplode("words").alias("segment", "joined")).select("key", "segment", F.explode(F.split("joined", " ")).alias("word"))
+    sums = own.join(words, "word").groupBy("key", "segment").agg(F.count("*").alias("telling"), F.sum("odds").alias("total"))
+    marks = sums.groupBy("key").agg(F.collect_list(F.struct("segment", "telling", "total")).alias("marks"))
+    joined = split.drop("words").join(marks, "key", "left").select("id", "host", "plain", "sizes", "counts", "stuffed", "ends", "marks")
+    return joined.mapInArrow(_join_marks, schema)
 
 
 def _measure_pages(odds: dict[str, float]):
@@ -287,11 +339,8 @@ def _measure_pages(odds: dict[str, float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            x = _matrix(texts, odds)
-            there = [bool(t) and not t.isspace() for t in texts]
-            label = np.where(there, weak_label(x), -1) if len(texts) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.int32()), pa.array([r.tolist() if t else None for r, t in zip(x, there, strict=True)], pa.list_(pa.float32()))], names=["id", "host", "label", "x"])
+            rows = [page_features(t, odds) if t and not t.isspace() else None for t in batch.column(2).to_pylist()]
+            yield _measured_batch(batch.column(0), batch.column(1), rows)
 
     return run
 
@@ -319,10 +368,9 @@ def score_pages(pages: DataFrame, id_column: str, text_column: str, host_column:
     and blank texts score 0; pages without a host keep their own score; where no page looks like
     spam to the rules, the share of links and tags is the score.  An empty table gives no rows.
     """
-    odds = word_odds(pages, text_column)
     kind = pages.schema[id_column].dataType.simpleString()
     rows = pages.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.col(text_column).alias("text"))
-    measured = stage(rows.mapInArrow(_measure_pages(odds), f"id {kind}, host string, label int, x array<float>"), "spam-features")
+    measured = stage(measure_pages(rows, word_odds(pages, text_column)), "spam-features")
     weak = measured.where("label >= 0").select("label", "x")
     sizes = {r.label: r["count"] for r in weak.groupBy("label").count().collect()}
     forest = None
