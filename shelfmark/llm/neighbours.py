@@ -4,8 +4,10 @@ A unit vector goes through three rounds of random signs and a fast Hadamard tran
 pseudo-rotation, and hashes to its nearest signed axis.  ``depth`` such hashes make the bucket of
 one of ``tables`` tables.  Every vector is stored in its home bucket of each table; a query looks
 into its home bucket and the ``probes`` next likeliest ones, ranked by how much farther the
-swapped axes are.  Buckets compare 8-bit copies of the vectors; the best candidates of a query
-are reranked with the exact distance 1 - cosine of the stored vectors.
+swapped axes are.  Buckets compare 8-bit copies of the vectors; every candidate that can be among
+the best within the proven error of its cosine is reranked with the exact distance 1 - cosine of
+the stored vectors.  Where too many of a cell can be (many vectors that are nearly equal), the
+cell's stored vectors are compared themselves.
 
 Equal vectors are gathered first and hashed once, so a group of copies of any size is one point.
 A bucket of more than ``block`` rows is split into a grid of cells: a stored row goes to the cells
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from ..runtime import stage
 
 SEED = 20240117
-#: Bound on the error of a cosine of two 8-bit copies of 64-dimensional unit vectors.
-SKETCH_ERROR = 0.025
+#: Candidates that may be among the best, beyond k, for which a cell is not compared exactly.
+MORE = 11
 
 
 def usable_vectors(embeddings: DataFrame, model_id: int, dim: int) -> DataFrame:
@@ -154,33 +156,60 @@ def _hash(dim: int, tables: int, depth: int, probes: int, every_row_asks: bool):
     return run
 
 
-_CANDIDATE = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("cosine", pa.float32())])
-_CANDIDATE_DDL = "id bigint, other bigint, cosine float"
+_CANDIDATE = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("lower", pa.float32()), ("upper", pa.float32()), ("bucket", pa.int64()), ("part", pa.int32())])
+_CANDIDATE_DDL = "id bigint, other bigint, lower float, upper float, bucket bigint, part int"
 
 
-def _compare(dim: int, keep: int, least: float):
-    """Within each bucket part: the best ``keep`` stored rows for each query row."""
+def sketch_errors(rows: np.ndarray) -> np.ndarray:
+    """A bound on the length of the difference of each vector and its 8-bit copy: half a step in every entry, and rounding."""
+    top = np.ascontiguousarray(rows[:, :4]).view("<f4").astype(np.float32)[:, 0]
+    return top * np.float32(0.501 / 127 * np.sqrt(rows.shape[1] - 4))
 
-    def bucket(ids: np.ndarray, roles: np.ndarray, unit: np.ndarray, out: list) -> None:
+
+def _compare(dim: int, k: int, least: float, exact: bool = False):
+    """Within each bucket part: the stored rows that may be among the best ``k`` for each query row.
+
+    ``lower`` and ``upper`` enclose the cosine.  From 8-bit copies, a query with more than k + MORE
+    such rows has one row without ``other`` instead, which names the part.  With ``exact`` the
+    vectors themselves are compared and each query has its ``k`` best rows.
+    """
+
+    def bucket(key: np.ndarray, ids: np.ndarray, roles: np.ndarray, unit: np.ndarray, error: np.ndarray, out: list) -> None:
         stored, asking = np.flatnonzero(roles & STORED), np.flatnonzero(roles & QUERY)
         if not len(stored) or not len(asking):
             return
-        base, base_ids = unit[stored], ids[stored]
+        base, base_ids, base_error = unit[stored], ids[stored], error[stored]
         for at in range(0, len(asking), 512):
             q = asking[at : at + 512]
             near = unit[q] @ base.T
+            # |ab - a'b'| <= |a - a'||b| + |a'||b - b'|, and the rounding of the product
+            wide = 1e-6 if exact else error[q][:, None] + base_error[None, :] + error[q][:, None] * base_error[None, :] + np.float32(1e-5)
             near[ids[q][:, None] == base_ids[None, :]] = -9
-            if len(stored) > keep:
-                cut = np.partition(near, len(stored) - keep, axis=1)[:, len(stored) - keep]
-                hit = near >= np.maximum(cut, least)[:, None]
+            lower, upper = near - wide, near + wide
+            hit = upper >= np.float32(least)
+            hit[near == -9] = False
+            if len(stored) > k:
+                at_k = np.partition(near if exact else lower, len(stored) - k, axis=1)[:, len(stored) - k]
+                hit &= (near >= at_k[:, None] - 1e-12) if exact else (upper >= at_k[:, None])
+            many = np.flatnonzero(hit.sum(axis=1) > (k if exact else k + MORE))
+            if exact:
+                for i in many:  # equal cosines are taken in the order of ids
+                    j = np.flatnonzero(hit[i])
+                    hit[i, j[np.lexsort((base_ids[j], -np.round(near[i, j], 12)))[k:]]] = False
             else:
-                hit = near >= least
+                hit[many] = False
+                if len(many):
+                    none = np.full(len(many), np.nan, np.float32)
+                    out.append((ids[q][many], np.zeros(len(many), np.int64), none, none, np.full(len(many), key[0]), np.full(len(many), key[1], np.int32)))
             i, j = np.nonzero(hit)
             if len(i):
-                out.append((ids[q][i], base_ids[j], near[i, j]))
+                out.append((ids[q][i], base_ids[j], lower[i, j].astype(np.float32), upper[i, j].astype(np.float32), np.zeros(len(i), np.int64), np.full(len(i), -1, np.int32)))
 
     def flush(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], schema=_CANDIDATE)
+        columns = [np.concatenate([x[c] for x in out]) for c in range(6)]
+        found = columns[5] < 0
+        masks = [None, ~found, ~found, ~found, found, found]
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type, mask=m) for c, t, m in zip(columns, _CANDIDATE, masks, strict=True)], schema=_CANDIDATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,10 +218,17 @@ def _compare(dim: int, keep: int, least: float):
         def work(table: pa.Table) -> None:
             key = np.stack([table.column(k).to_numpy() for k in (0, 1)], axis=1)
             ids, roles = table.column(2).to_numpy(), table.column(3).to_numpy()
-            unit = unsketch(np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, dim + 4))
+            raw = b"".join(table.column(4).to_pylist())
+            if exact:
+                unit = np.frombuffer(raw, "<f4").reshape(-1, dim).astype(np.float64)
+                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+                error = np.zeros(len(unit), np.float32)
+            else:
+                copies = np.frombuffer(raw, np.uint8).reshape(-1, dim + 4)
+                unit, error = unsketch(copies), sketch_errors(copies)
             edges = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
             for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
-                bucket(ids[a:b], roles[a:b], unit[a:b], out)
+                bucket(key[a], ids[a:b], roles[a:b], unit[a:b], error[a:b], out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -288,13 +324,21 @@ def _finish(vectors, copies, hashed, dim, k, max_distance, queries, block) -> Da
     spread = F.when(down.isNull(), F.array(F.struct(F.lit(0).alias("part"), F.col("role").cast("int").alias("role")))).otherwise(grid)
     rows = split.select("bucket", F.explode(spread).alias("x"), "id", "code").select("bucket", F.col("x.part").alias("part"), "id", F.col("x.role").cast("tinyint").alias("role"), "code")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
-    keep = k + 11
-    least = -2.0 if max_distance is None else 1 - max_distance - SKETCH_ERROR
-    found = rows.mapInArrow(_compare(dim, keep, least), _CANDIDATE_DDL)
-    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    found = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    found = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= keep)
+    by_cell = lambda x: x.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
+    least = -2.0 if max_distance is None else 1 - max_distance
+    raw = stage(by_cell(rows).mapInArrow(_compare(dim, k, least), _CANDIDATE_DDL), "vector-hits")
+    found = raw.where("other is not null").select("id", "other", "lower", "upper")
+    open_ = raw.where("other is null").select("bucket", "part", "id")
+    if open_.limit(1).collect():  # nearly equal vectors: these cells are compared with the stored vectors
+        cells = rows.select("bucket", "part", "id", F.col("role").cast("int").alias("role")).join(open_.select("bucket", "part").distinct(), ["bucket", "part"], "left_semi")
+        cells = cells.join(open_.withColumn("again", F.lit(QUERY)), ["bucket", "part", "id"], "left")
+        role = F.col("role").bitwiseAND(F.lit(STORED).bitwiseOR(F.coalesce("again", F.lit(0)))).cast("tinyint")
+        cells = cells.withColumn("role", role).where("role > 0").join(vectors.select("id", "vector"), "id").select("bucket", "part", "id", "role", "vector")
+        found = found.unionByName(by_cell(cells).mapInArrow(_compare(dim, k, least, True), _CANDIDATE_DDL).select("id", "other", "lower", "upper"))
+    # what may be among the k best over all: its cosine can reach the k-th best lower bound
+    best = Window.partitionBy("id").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.groupBy("id", "other").agg(F.max("lower").alias("lower"), F.min("upper").alias("upper"))
+    found = found.withColumn("least", F.nth_value("lower", k).over(best)).where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
     if queries is None:  # a pair found from one side serves both
         found = found.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     else:

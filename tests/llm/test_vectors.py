@@ -87,5 +87,18 @@ def test_copies_of_a_hot_vector(spark):
         assert max(d for d, _ in got[1000 + k]) == pytest.approx(0, abs=1e-9)
 
 
+def test_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = _clusters(80, 3)
+    centre = rng.standard_normal(D)
+    v |= {1000 + k: centre + 0.03 * rng.standard_normal(D) for k in range(300)}  # closer than 8-bit copies tell
+    table = usable_vectors(_table(spark, v), 1, D)
+    want = {(a, b) for a, near in _brute(v, 5, 0.1).items() for b in near}
+    for block in (8192, 64):
+        got = {(r.id, r.other) for r in nearest(table, D, 5, 0.1, tables=3, probes=2, block=block).collect()}
+        hot = {x for x in want if x[0] >= 1000}
+        assert len(hot) == 1500 and len(got & hot) >= 0.999 * len(hot)
+
+
 def test_empty(spark):
     assert nearest(usable_vectors(_table(spark, {}), 1, D), D).collect() == []
