@@ -25,18 +25,17 @@ from .tags import tags_of
 BLOCK = 65_536
 #: Distinct pairs in a block's hash table before it is emitted early.
 HASHED = 1_000_000
-#: A set of frequent items is sent to the workers only below this many entries.
-SENT_ITEMS = 200_000
 
 _PAIR = pa.schema([("item_a", pa.string()), ("item_b", pa.string()), ("n", pa.int64())])
 _PAIR_DDL = "item_a string, item_b string, n bigint"
 
 
 def distinct_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("items", pa.list_(pa.string()))])
+    """Columns in: record, raw; records without items are left out."""
+    schema = pa.schema([("record", pa.int64()), ("items", pa.list_(pa.string()))])
     for batch in batches:
-        rows = [s for raw in batch.column(0).to_pylist() if (s := sorted(set(tags_of(raw))))]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], schema=schema)
+        rows = [(k, s) for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (s := sorted(set(tags_of(raw))))]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.string()))], schema=schema)
 
 
 def _emit(pairs: dict[tuple[str, str], int], size: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -87,7 +86,7 @@ def _mixed(bits: np.ndarray, names: list[str], postings: dict[str, list[int]]) -
         at = end
 
 
-def _count_pairs(heavy: list[str], kept: frozenset[str] | None):
+def _count_pairs(heavy: list[str]):
     index = {x: k for k, x in enumerate(heavy)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +109,12 @@ def _count_pairs(heavy: list[str], kept: frozenset[str] | None):
         for batch in batches:
             for items in batch.column(0).to_pylist():
                 light, dense = [], False
-                for x in items:
+                for x in sorted(items):
                     k = index.get(x)
                     if k is not None:
                         bits[k, rows] = 1
                         dense = True
-                    elif kept is None or x in kept:
+                    else:
                         light.append(x)
                 if dense:
                     for x in light:
@@ -150,13 +149,19 @@ def cooccurring(records: DataFrame, column: str, min_pairs: int = 1, heavy_items
     Null, empty and malformed lists hold no items.
     """
     n_records = records.count()
-    items = stage(records.select(F.col(column).alias("raw")).mapInArrow(distinct_items, "items array<string>"), "item-sets")
-    counts = items.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= min_pairs)
+    raw = records.select(F.monotonically_increasing_id().alias("record"), F.col(column).alias("raw"))
+    items = stage(raw.mapInArrow(distinct_items, "record bigint, items array<string>"), "item-sets")  # numbers are fixed from here
+    single = items.select("record", F.explode("items").alias("item"))
+    counts = single.groupBy("item").count().where(F.col("count") >= min_pairs)
     counts = stage(counts.withColumnRenamed("count", "n"), "item-counts")
     heavy = [r.item for r in counts.orderBy(F.desc("n"), "item").limit(heavy_items).collect()]
-    # Items of at least m records number at most (all occurrences) / m, so the set's size is known before it is sent.
-    kept = frozenset(r.item for r in counts.select("item").collect()) if counts.count() <= SENT_ITEMS else None
-    pairs = items.mapInArrow(_count_pairs(heavy, kept), _PAIR_DDL)
+    sets = items.select("items")
+    if min_pairs > 1:
+        # Items of too few records are left out by a join; the commonest ones, which would be its hot keys, need none.
+        common = F.col("item").isin(heavy) if heavy else F.lit(False)
+        kept = single.where(common).unionByName(single.where(~common).join(counts.select("item"), "item", "left_semi"))
+        sets = kept.groupBy("record").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1).select("items")
+    pairs = sets.mapInArrow(_count_pairs(heavy), _PAIR_DDL)
     pairs = pairs.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_pairs)
     a = counts.select(F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     b = counts.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"))

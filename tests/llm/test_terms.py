@@ -8,7 +8,9 @@ from hypothesis import strategies as st
 
 from shelfmark.llm.cooccurrence import cooccurring
 from shelfmark.llm.tags import tags_of
-from shelfmark.llm.term_counts import BURST, BurstTrie, count_terms, tag_counts
+from pyspark.sql import functions as F
+
+from shelfmark.llm.term_counts import BURST, BurstTrie, count_terms, merge_subtrees, pack_subtree, tag_counts, unpack_subtree
 
 ODD = [None, "", " ", "no json", "null", "{}", '"x"', "[1, 2]", '["a", 3, null, {"b": 1}]', '["A", " a ", "a\\u00a0", "a\\t"]', '["e\\u0301", "\\u00c9"]', "[NaN]", '["  ", "\\u3000"]', "[" * 5000, '["' + "x" * 200_000 + '"]']
 
@@ -23,6 +25,32 @@ def test_trie_counts_like_a_counter(terms):
     assert trie.size == len(set(terms))
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="abc\U0001f600é\ud800", max_size=6), max_size=20), min_size=1, max_size=4))
+def test_subtrees_merge_like_counters(lists):
+    tries = [BurstTrie() for _ in lists]
+    for trie, terms in zip(tries, lists, strict=True):
+        for t in terms:
+            trie.add(t, 1, 2)
+    rows = [list(t.items()) for t in tries]
+    assert all(r == sorted(r) for r in rows)
+    blobs = [pack_subtree(r) for r in rows if r]
+    assert [list(unpack_subtree(b)) for b in blobs] == [r for r in rows if r]
+    want = Counter(t for terms in lists for t in terms)
+    if blobs:
+        assert list(merge_subtrees(blobs)) == [(t, want[t], 2 * want[t]) for t in sorted(want)]
+
+
+def test_a_long_common_prefix_spreads(spark):
+    rows = [json.dumps([f"https://example.org/item/{k}", "a" * (k % 3000 + 1)]) for k in range(20_000)]
+    table = spark.createDataFrame([(x,) for x in rows], "tags_json string").repartition(3)
+    got = count_terms(table, "tags_json")
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 0.5 * 23_000
+    found = {r.term: r.records for r in got.collect()}
+    assert len(found) == 23_000 and found["https://example.org/item/7"] == 1 and found["aa"] == 7
+
+
 def test_trie_bursts():
     trie = BurstTrie()
     terms = [f"same prefix {k}" for k in range(5 * BURST)]
