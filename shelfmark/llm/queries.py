@@ -66,10 +66,9 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _toxicity(spark: SparkSession, sf_dir: str):
-    from .toxicity import labelled_texts, train, usual_texts
+    from .toxicity import fitted
 
-    documents, reviews = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "review_labels")
-    return train(*labelled_texts(documents, reviews), usual_texts(documents, reviews))
+    return fitted(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "review_labels"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

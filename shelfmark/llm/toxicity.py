@@ -8,8 +8,9 @@ scaled features gives the weights.  As a window's score is the sum of the weight
 positions, all windows of a batch are scored by one cumulative sum.  The text's score is that of
 its worst window.
 
-Training uses labelled texts.  Of a text with a bad label only the worst windows are bad, which
-is found in rounds: score the windows with what is known, take each text's worst ones, fit anew.
+Training uses labelled texts only, in one task, so that the driver gets a model of fixed size
+whatever the texts.  Of a text with a bad label only the worst windows are bad, which is found in
+rounds: score the windows with what is known, take each text's worst ones, fit anew.
 Labels that held-out models contradict firmly are set aside, and the threshold is the one that
 does best on held-out labelled texts at the rate of bad texts among all that are scored.
 """
@@ -29,12 +30,12 @@ from ..runtime import stage
 
 #: Characters of a window, lengths of the n-grams, bits of a hashed n-gram.
 WINDOW, ORDERS, BITS = 80, (3, 4, 5), 19
-#: Most labelled texts that the classifier is fitted on, of either kind, and most windows taken from each (of bad ones the worst).
-SAMPLE_BAD, SAMPLE_GOOD, SAMPLE_WINDOWS = 1000, 4000, 16
+#: Most labelled texts that the classifier is fitted on, of either kind.
+SAMPLE_BAD, SAMPLE_GOOD = 1000, 4000
+#: Windows that are held of a bad text, the worst of all.
+WORST = 16
 #: The log-odds from which a text counts as bad when their rate is estimated.
 COUNTED = 2.0
-#: Most texts without a label that show what is usual; only windows chosen by lot are taken from them.
-SAMPLE_USUAL = 3000
 BAD_LABELS = ("abusive", "hateful", "sexual")
 
 # Letters of other scripts that look like Latin ones, and digits read as letters.
@@ -130,17 +131,18 @@ class Model:
         return np.concatenate(out)
 
 
-def _window_starts(n: int) -> np.ndarray:
-    """Starts of the windows of a text of ``n`` code points, a quarter of a window apart; the last ends with the text."""
-    starts = np.arange(0, max(n - WINDOW, 0) + 1, WINDOW // 4)
+def _window_starts(n: int, step: int = WINDOW // 4) -> np.ndarray:
+    """Starts of the windows of a text of ``n`` code points, ``step`` apart; the last ends with the text."""
+    starts = np.arange(0, max(n - WINDOW, 0) + 1, step)
     return np.append(starts, n - WINDOW) if n > WINDOW and starts[-1] + WINDOW < n else starts
 
 
 class _Windows:
     """Windows of texts as lists of buckets.
 
-    Of a text with more than SAMPLE_WINDOWS windows so many are held, first by lot.  For those with
-    a bad label ``choose`` takes the worst of all their windows instead.
+    Windows of a bad text are a quarter of a window apart; of one with more than WORST so many are
+    held, first by lot, until ``choose`` takes the worst of all.  Those of other texts follow each
+    other so closely that every n-gram lies in one, and all are held.
     """
 
     def __init__(self, texts: list[str], bad: np.ndarray, rng: np.random.Generator) -> None:
@@ -149,11 +151,10 @@ class _Windows:
         self.first: dict[int, int] = {}
         for k, t in enumerate(texts):
             points = self._text_points(t)
-            starts = _window_starts(len(points))
-            if len(starts) > SAMPLE_WINDOWS:
-                starts = np.sort(rng.choice(starts, SAMPLE_WINDOWS, replace=False))
-                if bad[k]:
-                    self.long[k], self.first[k] = t, len(rows)
+            starts = _window_starts(len(points)) if bad[k] else _window_starts(len(points), WINDOW - max(ORDERS) + 1)
+            if bad[k] and len(starts) > WORST:
+                starts = np.sort(rng.choice(starts, WORST, replace=False))
+                self.long[k], self.first[k] = t, len(rows)
             for s in starts:
                 part = points[s : s + WINDOW]
                 owner.append(k)
@@ -201,7 +202,7 @@ class _Windows:
             for order, b in zip(ORDERS, buckets, strict=True):
                 total = np.concatenate([[0.0], np.cumsum(weights[b], dtype=np.float64)])
                 score += total[starts + WINDOW - order + 1] - total[starts]
-            worst = starts[np.sort(np.argsort(-score, kind="stable")[:SAMPLE_WINDOWS])]
+            worst = starts[np.sort(np.argsort(-score, kind="stable")[:WORST])]
             rows = np.concatenate([b[s : s + WINDOW - o + 1] for s in worst for o, b in zip(ORDERS, buckets, strict=True)])
             at = self.starts[self.first[k]]
             self.flat[at : at + len(rows)] = rows
@@ -269,8 +270,7 @@ def _learn(windows: _Windows, label: np.ndarray, texts: np.ndarray, rounds: int
         worst = _worst(windows, score, len(label))[windows.owner]
         # of a bad text the windows near its worst count as bad; of the others the worst ones tell most
         near = np.where(worst > 0, score >= 0.7 * worst, score >= worst)
-        judged = label[windows.owner] == 0
-        picked = mine & ((bad & near) | (judged & (score >= worst - 0.5)) | (~bad & (windows.lot < 0.15)))
+        picked = mine & ((bad & near) | (~bad & ((score >= worst - 0.5) | (windows.lot < 0.15))))
         ratio = _ratios(windows.counts(np.flatnonzero(mine & bad & near)), others)
         chosen = np.flatnonzero(picked)
         weights = _fit(*windows.take(chosen), bad[chosen].astype(float), ratio, steps)
@@ -289,11 +289,8 @@ def _best_threshold(score: np.ndarray, label: np.ndarray, rate: float) -> float:
     return float((score[order[k]] + low) / 2)
 
 
-def train(texts: list[str | None], labels: list[bool], usual: list[str | None] = (), seed: int = 5) -> Model:
-    """A model from labelled texts and a sample of unlabelled ones, of which few are bad.
-
-    Without both kinds of labels nothing is ever a case.
-    """
+def train(texts: list[str | None], labels: list[bool], seed: int = 5) -> Model:
+    """A model from labelled texts.  Without both kinds of labels nothing is ever a case."""
     kept: dict[str, list[bool]] = {}
     for t, bad in zip(texts, labels, strict=True):
         if c := comparable(t):
@@ -304,19 +301,17 @@ def train(texts: list[str | None], labels: list[bool], usual: list[str | None] =
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(1 << BITS), PRIOR, -PRIOR)
     rng = np.random.default_rng(seed)
-    more = sorted({c for t in usual if (c := comparable(t))} - kept.keys())
-    label = np.concatenate([label, np.full(len(more), -1)])  # -1: not judged
-    whole = [t for t, _ in voted] + more
+    whole = [t for t, _ in voted]
     windows = _Windows(whole, label > 0, rng)
     fold = rng.permutation(len(label)) % FOLDS
     usable = np.ones(len(label), bool)
     held = np.zeros(len(label))
     for k in range(FOLDS):
         part = np.flatnonzero(fold != k)
-        if (label[part] > 0).any() and (label[part] == 0).any():
+        if 0 < label[part].sum() < len(part):
             model = Model(_learn(windows, label, part, rounds=1, steps=40), PRIOR, 0.0)
             # by the measure that texts are scored with: the worst of all windows
-            out = np.flatnonzero((fold == k) & (label >= 0))
+            out = np.flatnonzero(fold == k)
             held[out] = model.scores([whole[i] for i in out])
     # a firm contradiction by a model that did not see the text: the label is set aside
     if (label > 0).sum() >= 30:
@@ -324,26 +319,42 @@ def train(texts: list[str | None], labels: list[bool], usual: list[str | None] =
         firm = 0.0 if np.quantile(held[label > 0], 0.2) > 0.5 else -2.0
         usable = ~(((label > 0) & (held < firm)) | ((label == 0) & (held > 3)))
     weights = _learn(windows, label, np.flatnonzero(usable))
-    judged = usable & (label >= 0)
-    held, label = held[judged], label[judged]
+    held, label = held[usable], label[usable]
     return Model(weights, PRIOR, _best_threshold(held, label, (label.sum() + 0.5) / (len(label) + 1)), held, label)
 
 
-def usual_texts(documents: DataFrame, reviews: DataFrame) -> list[str]:
-    """At most SAMPLE_USUAL unlabelled texts, in the order of a hash of their ids."""
-    rest = documents.where("text is not null").join(reviews.select("doc_id"), "doc_id", "left_anti")
-    return [r.text for r in rest.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_USUAL).select("text").collect()]
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns in: text, bad; out: the model, in one row."""
+    texts: list[str] = []
+    labels: list[bool] = []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    m = train(texts, labels)
+    held, label = (None, None) if m.held is None else (m.held.astype("<f8").tobytes(), m.label.astype("u1").tobytes())
+    yield pa.RecordBatch.from_pylist([{"weights": m.weights.astype("<f4").tobytes(), "bias": m.bias, "threshold": m.threshold, "held": held, "label": label}], schema=_MODEL)
+
 
+_MODEL = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("threshold", pa.float64()), ("held", pa.binary()), ("label", pa.binary())])
 
-def labelled_texts(documents: DataFrame, reviews: DataFrame) -> tuple[list[str], list[bool]]:
-    """Texts with labels: at most SAMPLE_BAD bad and SAMPLE_GOOD good reviews, in the order of a hash of their ids."""
+
+def fitted(documents: DataFrame, reviews: DataFrame) -> Model:
+    """A model from the reviewed ``documents`` (doc_id, text) of ``reviews`` (doc_id, label).
+
+    Of reviews at most SAMPLE_BAD bad and SAMPLE_GOOD good ones are taken, in the order of a hash
+    of their ids.  Null labels and texts are left out.  One task fits the model; the driver gets
+    its weights and one score per label.
+    """
     judged = reviews.where(F.col("label").isNotNull()).select("doc_id", F.lower(F.trim("label")).isin(*BAD_LABELS).alias("bad"))
-    texts = judged.join(documents.select("doc_id", "text").where("text is not null"), "doc_id")
-    rows = []
-    for bad, most in ((True, SAMPLE_BAD), (False, SAMPLE_GOOD)):
-        part = texts.where(F.col("bad") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows += part.select("text", "bad").collect()
-    return [r.text for r in rows], [r.bad for r in rows]
+    chosen = [judged.where(F.col("bad") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for bad, most in ((True, SAMPLE_BAD), (False, SAMPLE_GOOD))]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # SAMPLE_BAD + SAMPLE_GOOD rows
+    texts = documents.select("doc_id", "text").where("text is not null").join(ids, "doc_id").select("text", "bad")
+    rows = texts.repartition(1).mapInArrow(_train, "weights binary, bias double, threshold double, held binary, label binary").collect()
+    if not rows:
+        return train([], [])
+    r = rows[0]
+    held, label = (None, None) if r.held is None else (np.frombuffer(r.held, "<f8"), np.frombuffer(r.label, "u1").astype(int))
+    return Model(np.frombuffer(r.weights, "<f4"), r.bias, r.threshold, held, label)
 
 
 def _score(model_in):

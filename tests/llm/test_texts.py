@@ -71,14 +71,26 @@ def test_held_out_accuracy(spark):
     assert toxicity.score_texts(df.limit(0), model).collect() == []
 
 
-def test_a_third_of_the_texts_is_bad(spark):
-    texts, labels = _abuse(2000, 3)
+@pytest.mark.parametrize("rate", [0.03, 0.2, 0.4])
+def test_any_rate_of_bad_texts(spark, rate):
+    texts, labels = _abuse(4000, 3)
     bad, good = ([t for t, b in zip(texts, labels, strict=True) if b is x] for x in (True, False))
-    rows = [("d", k, t) for k, t in enumerate(bad + good[: 2 * len(bad)])]
-    model = toxicity.train(*_abuse(500, 1), random.Random(4).sample([t for _, _, t in rows], 600))
+    bad = bad[: int(rate * 1500)]
+    rows = [("d", k, t) for k, t in enumerate(bad + good[: 1500 - len(bad)])]
+    model = toxicity.train(*_abuse(500, 1))
     got = {r.rec_id: r.score >= 0.5 for r in toxicity.score_texts(spark.createDataFrame(rows, "rec_kind string, rec_id bigint, text string"), model).collect()}
     assert sum(got[k] for k in range(len(bad))) >= 0.95 * len(bad)
-    assert sum(got[k] for k in range(len(bad), len(rows))) <= 0.03 * 2 * len(bad)
+    assert sum(got[k] for k in range(len(bad), len(rows))) <= 0.03 * len(rows)
+
+
+def test_a_task_fits_the_same_model(spark):
+    texts, labels = _abuse(300, 1)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*texts, None])], "doc_id bigint, text string, label string")
+    reviews = spark.createDataFrame([(k, " Abusive" if b else "none") for k, b in enumerate(labels)] + [(300, "none"), (0, None), (None, "sexual")], "doc_id bigint, label string")
+    a, b = toxicity.fitted(docs, reviews), toxicity.train(texts, labels)
+    assert (a.weights == b.weights).all() and (a.threshold, a.bias) == (b.threshold, b.bias)
+    none = toxicity.fitted(docs, reviews.limit(0))
+    assert (none.scores(["anything"]) < none.threshold).all()
 
 
 def test_long_bad_texts_are_trained_on_their_worst_windows():
