@@ -7,6 +7,12 @@ token (all its occurrences from the left at once, which is what repeating the le
 gives), until no pair of the word has a merge.  An ordered aggregation gives each word's ids, and
 the texts' id lists are put together from their words.
 
+A long word is contracted in overlapping blocks, all at once, so that it needs no round for each
+of its merges.  Two blocks are joined where both end a token, if the two tokens that meet there are
+what their own bytes contract to: a list of tokens is the contraction of its bytes exactly when
+each two neighbours are that of theirs.  A word without such a place is taken in larger blocks,
+at last whole.
+
 A text that spells a special token is ordinary text.  Null and empty texts have the empty list.
 """
 
@@ -28,6 +34,8 @@ TOKENIZERS = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct bytes of words that one recursive query contracts.
 CHUNK_BYTES = 400_000
+#: Bytes of a block of a longer word; half as many more overlap the next block.
+LONG_BYTES = 64
 #: Bytes of words whose ids a worker remembers.
 REMEMBERED_BYTES = 16_000_000
 
@@ -76,6 +84,9 @@ class Encoder:
         self.bytes = {k: bytes(to_byte[x] for x in token) for token, k in vocab.items() if all(x in to_byte for x in token)}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         merges = pa.table({"a": pa.array([vocab[a] for a, _ in pairs], pa.int32()), "b": pa.array([vocab[b] for _, b in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int32()), "merged": pa.array([vocab[a + b] for a, b in pairs], pa.int32())})
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for k, b in self.bytes.items():
+            self.size[k] = len(b)
         self.split = regex.compile(PATTERN).findall
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "384MB", "preserve_insertion_order": False})
         self.db.register("merges_in", merges)
@@ -85,37 +96,70 @@ class Encoder:
         self.known_bytes = 0
 
     def learn(self, words: set[str]) -> None:
-        """Find the ids of all words not yet known, chunk by chunk."""
-        chunk, size = [], 0
-        for word in words:
-            if word in self.known:
-                continue
-            raw = word.encode("utf-8", "surrogatepass")
-            if chunk and size + len(raw) > CHUNK_BYTES:
-                self._contract(chunk)
-                chunk, size = [], 0
-            chunk.append((word, raw))
+        """Find the ids of all words not yet known."""
+        new = {w: w.encode("utf-8", "surrogatepass") for w in words if w not in self.known}
+        short = {w: raw for w, raw in new.items() if len(raw) <= 2 * LONG_BYTES}
+        self.known.update(zip(short, self.contract(list(short.values())), strict=True))
+        long = {w: raw for w, raw in new.items() if len(raw) > 2 * LONG_BYTES}
+        self.known.update(zip(long, self._contract_long(list(long.values())), strict=True))
+        self.known_bytes += sum(len(raw) + 100 for raw in new.values())
+
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each of ``words``, chunk by chunk."""
+        out: list[np.ndarray] = []
+        start = size = 0
+        for k, raw in enumerate(words):
+            if k > start and size + len(raw) > CHUNK_BYTES:
+                out += self._contract(words[start:k])
+                start, size = k, 0
             size += len(raw)
-        if chunk:
-            self._contract(chunk)
+        return out + self._contract(words[start:]) if words else out
 
-    def _contract(self, chunk: list[tuple[str, bytes]]) -> None:
-        lengths = np.array([len(raw) for _, raw in chunk])
+    def _contract(self, chunk: list[bytes]) -> list[np.ndarray]:
+        lengths = np.array([len(raw) for raw in chunk])
         ends = np.cumsum(lengths)
         rows = {
             "word": np.repeat(np.arange(len(chunk), dtype=np.int32), lengths),
             "pos": (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32),
-            "tok": self.first[np.frombuffer(b"".join(raw for _, raw in chunk), np.uint8)],
+            "tok": self.first[np.frombuffer(b"".join(chunk), np.uint8)],
         }
         self.db.register("letters", pa.table(rows))
         found = self.db.sql(_CONTRACT).to_arrow_table().combine_chunks()
         self.db.unregister("letters")
         ids = found.column("ids").combine_chunks()
-        flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        for n, k in enumerate(found.column("word").to_numpy()):
-            word, raw = chunk[k]
-            self.known[word] = flat[offsets[n] : offsets[n + 1]].astype(np.int32)
-            self.known_bytes += len(raw) + 100
+        return np.split(ids.values.to_numpy(zero_copy_only=False).astype(np.int32), ids.offsets.to_numpy()[1:-1])
+
+    def _contract_long(self, words: list[bytes]) -> list[np.ndarray]:
+        out: dict[int, np.ndarray] = {}
+        block = LONG_BYTES
+        while open_ := [k for k in range(len(words)) if k not in out]:
+            whole = [k for k in open_ if len(words[k]) <= 2 * block]
+            out.update(zip(whole, self.contract([words[k] for k in whole]), strict=True))
+            cut = {k: [(s, words[k][s : s + block + block // 2]) for s in range(0, len(words[k]), block)] for k in open_ if len(words[k]) > 2 * block}
+            distinct = list({raw for pieces in cut.values() for _, raw in pieces})
+            ids = dict(zip(distinct, self.contract(distinct), strict=True))
+            ends = {raw: np.cumsum(self.size[x]) for raw, x in ids.items()}
+            # per pair of blocks: the places where both end a token, with the tokens that meet there
+            meet: dict[int, list[list[tuple[int, int, int]]]] = {}
+            for k, pieces in cut.items():
+                meet[k] = []
+                for (s, left), (t, right) in zip(pieces, pieces[1:], strict=False):
+                    after = {t: 0} | {t + int(e): j + 1 for j, e in enumerate(ends[right][:-1])}
+                    meet[k].append([(s + int(e), int(ids[left][i]), int(ids[right][after[s + int(e)]])) for i, e in enumerate(ends[left]) if s + int(e) in after])
+            pairs = list({(a, b) for places in meet.values() for x in places for _, a, b in x})
+            fits = {p for p, x in zip(pairs, self.contract([self.bytes[a] + self.bytes[b] for a, b in pairs]), strict=True) if x.tolist() == list(p)}
+            for k, pieces in cut.items():
+                joints = [next((p for p, a, b in x if (a, b) in fits), None) for x in meet[k]]
+                if None in joints:
+                    continue
+                edges = [0, *joints, len(words[k])]
+                parts = []
+                for (s, raw), a, b in zip(pieces, edges, edges[1:], strict=False):
+                    place = s + ends[raw]
+                    parts.append(ids[raw][(place > a) & (place <= b)])
+                out[k] = np.concatenate(parts)
+            block *= 4
+        return [out[k] for k in range(len(words))]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.split(t) if t else [] for t in texts]

@@ -31,6 +31,27 @@ def test_ids_equal_a_reference_encoder(spark):
     assert bpe.encode_corpus(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_long_words_equal_a_reference_encoder():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = f"{bpe.TOKENIZERS}/byte_bpe_50k.json"
+    t, coder = Tokenizer.from_file(path), bpe.encoder(path)
+    rng = random.Random(2)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "的一是不了人我在有他这中大来", "กขคงจฉชซ", "ABCdefGHI", "a"]
+    words = ["".join(rng.choices(x, k=n)) for x in letters for n in (60, 129, 200, 1000, 3000)]
+    words += ["".join(rng.choices(["the", "ing", "tion", "straw", "berry"], k=200)), "=" * 777, "ab" * 500 + "a" * 500, "x" + "aaaa" * 300 + "y"]
+    got = coder.encode(words)
+    for w, ids in zip(words, got, strict=True):
+        assert ids.tolist() == t.encode(w, add_special_tokens=False).ids, w[:40]
+    blob = "".join(rng.choices(letters[0], k=200_000))
+    began = time.time()
+    ids = coder.encode([blob])[0].tolist()
+    assert time.time() - began < 15
+    assert ids == t.encode(blob, add_special_tokens=False).ids
+
+
 def test_disguises():
     c = toxicity.comparable
     assert c("You a s s h o l e") == "you asshole"
