@@ -5,7 +5,8 @@
 3. Word counts of all seed-labelled pages give each word a log-odds of spam; with the shares of
    such words the rules speak about more pages.  These are the weak labels.
 4. Bagged trees are fitted on a bounded sample of weakly labelled pages and score every page.
-5. A host's smoothed rate of spam pages shifts the log-odds of its pages.
+5. A host's smoothed rate of spam pages shifts the log-odds of its pages, by a weight that is
+   fitted on the sample with scores of trees that have not seen the page.
 """
 
 from __future__ import annotations
@@ -74,8 +75,9 @@ class Page:
         self.letters = len("".join(text.split()))
         bare, self.links, self.tags = text, 0, 0
         if "." in text and _LINKED.search(text):
-            self.links = sum(map(len, _URL.findall(text)))
-            bare = _URL.sub(" ", bare)
+            rest = _URL.split(text)
+            self.links = len(text) - sum(map(len, rest))
+            bare = " ".join(rest)
         if "#" in text:
             self.tags = sum(map(len, _HASHTAG.findall(bare)))
         self.bare = bare
@@ -222,9 +224,15 @@ class Forest:
         binned = self._bin(x)
         rng = np.random.default_rng(seed)
         self.trees = []
+        total, unseen = np.zeros(len(y)), np.zeros(len(y))
         for _ in range(trees):
             rows = rng.integers(0, len(y), len(y))
             self.trees.append(Tree(binned[rows], y[rows], bins, rng))
+            out = np.setdiff1d(np.arange(len(y)), rows)
+            total[out] += self.trees[-1].predict(binned[out])
+            unseen[out] += 1
+        #: The mean of the trees that have not seen the page; one half where all have.
+        self.held_out = np.divide(total, unseen, out=np.full(len(y), 0.5), where=unseen > 0)
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], axis=1)
@@ -236,8 +244,32 @@ class Forest:
         return np.mean([t.predict(binned) for t in self.trees], axis=0)
 
 
+_SPLIT = pa.schema([
+    ("plain", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("stuffed", pa.float64()), ("ends", pa.float64()), ("words", pa.list_(pa.string())), ("tags", pa.string()), ("seed", pa.int32()),
+])
+_SPLIT_DDL = "plain array<double>, sizes array<bigint>, counts array<bigint>, stuffed double, ends double, words array<string>, tags string, seed int"
+
+
+def _split_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns in: id, host, text; out: what the features are made of, the words of each segment and of the hash tags joined by blanks, and the seed label.
+
+    Null and blank texts have none of them.
+    """
+    for batch in batches:
+        pages = [Page(t) if t and not t.isspace() else None for t in batch.column(2).to_pylist()]
+        plain = [p.plain() if p else None for p in pages]
+        seed = seed_label(np.array([x + [0.0, 0.0, 0.0, p.ends(), 0.0] if p else [0.0] * len(FEATURES) for x, p in zip(plain, pages, strict=True)], float).reshape(len(pages), len(FEATURES)))
+        made = [
+            plain, *([f(p) if p else None for p in pages] for f in (
+                lambda p: [x[0] for x in p.segments], lambda p: [len(x[2]) for x in p.segments], lambda p: float(p.links + p.tags), Page.ends,
+                lambda p: [" ".join(x[2]) for x in p.segments], lambda p: " ".join(w.lower() for t in _HASHTAG.findall(p.text) for w in _words(t)) if p.tags else "",
+            )), [int(k) if p else None for k, p in zip(seed, pages, strict=True)],
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(made, _SPLIT, strict=True))], names=["id", "host", *_SPLIT.names])
+
+
 def _seed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: in how many spam and clean seed pages each word occurs."""
+    """Columns in: seed, words, tags.  Per task: in how many spam and clean seed pages each word occurs."""
     counts: dict[str, list[int]] = {}
     pages = [0, 0]
 
@@ -247,12 +279,10 @@ def _seed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.string()), pa.array([*(v[1] for v in values), pages[1]], pa.int64()), pa.array([*(v[0] for v in values), pages[0]], pa.int64())], names=["word", "spam", "clean"])
 
     for batch in batches:
-        found = [Page(t) for t in batch.column(0).to_pylist() if t and not t.isspace()]
-        labels = seed_label(np.array([p.plain() + p.hot({}) for p in found], float).reshape(len(found), len(FEATURES)))
-        for page, label in zip(found, labels, strict=True):
-            if label >= 0:
-                pages[label] += 1
-                for w in page.words():
+        for label, words, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            pages[label] += 1
+            for w in {w for part in (*words, tags) for w in part.split(" ")}:
+                if w:
                     counts.setdefault(w, [0, 0])[label] += 1
         if len(counts) > 300_000:
             yield emit()
@@ -261,13 +291,20 @@ def _seed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def word_odds(pages: DataFrame, text_column: str) -> DataFrame | None:
-    """``word, odds``: the spam log-odds of all words that tell spam from clean seed pages, over all pages.
+def split_pages(pages: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
+    """``id, host`` and what the features are made of; every text is split once."""
+    kind = pages.schema[id_column].dataType.simpleString()
+    rows = pages.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.col(text_column).cast("string").alias("text"))
+    return stage(rows.mapInArrow(_split_pages, f"id {kind}, host string, {_SPLIT_DDL}"), "spam-split")
+
+
+def word_odds(split: DataFrame) -> DataFrame | None:
+    """``word, odds``: the spam log-odds of all words that tell spam from clean seed pages, over all pages of ``split_pages``.
 
     Words in fewer than three spam pages are left out.  Odds are multiples of 2 ** -20, so that
     sums of them are the same in any order.  None where no page is spam to the seed rules.
     """
-    counted = pages.select(F.col(text_column).alias("text")).mapInArrow(_seed_words, "word string, spam bigint, clean bigint")
+    counted = split.where("seed >= 0").select("seed", "words", "tags").mapInArrow(_seed_words, "word string, spam bigint, clean bigint")
     counted = stage(counted.groupBy("word").agg(F.sum("spam").alias("spam"), F.sum("clean").alias("clean")), "spam-words")
     totals = counted.where(F.col("word").isNull()).collect()
     if not totals or not totals[0].spam:
@@ -278,21 +315,6 @@ def word_odds(pages: DataFrame, text_column: str) -> DataFrame | None:
     return rows.where(F.col("odds") > 1).select("word", "odds")
 
 
-def _split_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns in: key, id, host, text; out: what the features are made of, and the words of each segment joined by blanks."""
-    for batch in batches:
-        pages = [Page(t) if t and not t.isspace() else None for t in batch.column(3).to_pylist()]
-        made = lambda f, kind: pa.array([f(p) if p else None for p in pages], kind)  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(k) for k in range(3)), made(Page.plain, pa.list_(pa.float64())), made(lambda p: [x[0] for x in p.segments], pa.list_(pa.int64())),
-                made(lambda p: [len(x[2]) for x in p.segments], pa.list_(pa.int64())), made(lambda p: float(p.links + p.tags), pa.float64()), made(Page.ends, pa.float64()),
-                made(lambda p: [" ".join(x[2]) for x in p.segments], pa.list_(pa.string())),
-            ],
-            names=["key", "id", "host", "plain", "sizes", "counts", "stuffed", "ends", "words"],
-        )
-
-
 def _join_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns in: id, host, plain, sizes, counts, stuffed, ends, marks; out: as of ``_measure_pages``."""
     for batch in batches:
@@ -314,32 +336,37 @@ def _measured_batch(ids: pa.Array, hosts: pa.Array, rows: list[list[float] | Non
     return pa.RecordBatch.from_arrays([ids, hosts, pa.array(label, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["id", "host", "label", "x"])
 
 
-def measure_pages(rows: DataFrame, words: DataFrame | None, sent: int = SENT_WORDS) -> DataFrame:
-    """``id, host, label, x`` of ``rows`` (id, host, text): the weak label and the features, none for null and blank texts.
+def measure_pages(split: DataFrame, words: DataFrame | None, sent: int = SENT_WORDS) -> DataFrame:
+    """``id, host, label, x`` of the rows of ``split_pages``: the weak label and the features, none for null and blank texts.
 
     Up to ``sent`` words are sent to the workers, more are joined to the words of the pages.
     """
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = split.schema["id"].dataType.simpleString()
     schema = f"id {kind}, host string, label int, x array<float>"
     few = words.limit(sent + 1).collect() if words is not None else []
     if len(few) <= sent:
-        return rows.mapInArrow(_measure_pages({r.word: r.odds for r in few}), schema)
-    keyed = rows.select(F.monotonically_increasing_id().alias("key"), "id", "host", "text")
-    split_schema = f"key bigint, id {kind}, host string, plain array<double>, sizes array<bigint>, counts array<bigint>, stuffed double, ends double, words array<string>"
-    split = stage(keyed.mapInArrow(_split_pages, split_schema), "spam-split")  # keys are fixed from here
-    own = split.select("key", F.posexplode("words").alias("segment", "joined")).select("key", "segment", F.explode(F.split("joined", " ")).alias("word"))
+        columns = ["id", "host", "plain", "sizes", "counts", "stuffed", "ends", "words"]
+        return split.select(*columns).mapInArrow(_mark_words({r.word: r.odds for r in few}), schema)
+    keyed = stage(split.drop("tags", "seed").withColumn("key", F.monotonically_increasing_id()), "spam-keys")  # keys are fixed from here
+    own = keyed.select("key", F.posexplode("words").alias("segment", "joined")).select("key", "segment", F.explode(F.split("joined", " ")).alias("word"))
     sums = own.join(words, "word").groupBy("key", "segment").agg(F.count("*").alias("telling"), F.sum("odds").alias("total"))
     marks = sums.groupBy("key").agg(F.collect_list(F.struct("segment", "telling", "total")).alias("marks"))
-    joined = split.drop("words").join(marks, "key", "left").select("id", "host", "plain", "sizes", "counts", "stuffed", "ends", "marks")
+    joined = keyed.drop("words").join(marks, "key", "left").select("id", "host", "plain", "sizes", "counts", "stuffed", "ends", "marks")
     return joined.mapInArrow(_join_marks, schema)
 
 
-def _measure_pages(odds: dict[str, float]):
-    """Columns in: id, host, text; out: the features, none for null and blank texts, and the weak label."""
+def _mark_words(odds: dict[str, float]):
+    """As ``_join_marks``, with the words of each segment instead of marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [page_features(t, odds) if t and not t.isspace() else None for t in batch.column(2).to_pylist()]
+            rows = []
+            for plain, sizes, counts, stuffed, ends, words in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+                if plain is None:
+                    rows.append(None)
+                    continue
+                marks = [[m for w in part.split(" ") if (m := odds.get(w)) is not None] for part in words]
+                rows.append(plain + hot_features(sizes, counts, [len(m) for m in marks], [sum(m) for m in marks], stuffed, ends))
             yield _measured_batch(batch.column(0), batch.column(1), rows)
 
     return run
@@ -359,35 +386,50 @@ def _score_pages(forest: Forest | None):
     return run
 
 
-def score_pages(pages: DataFrame, id_column: str, text_column: str, host_column: str, sample: int = SAMPLE, host_weight: float = 0.2, prior: float = 20.0) -> DataFrame:
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def fit_host_weight(page: np.ndarray, shift: np.ndarray, label: np.ndarray) -> float:
+    """The weight of a host's log-odds beside a page's own that tells the labels best, between 0 and 1, in steps of 1/20."""
+    loss = []
+    for k in range(21):
+        z = _logit(page) + k / 20 * shift
+        loss.append(np.logaddexp(0, np.where(label > 0, -z, z)).mean())
+    return int(np.argmin(loss)) / 20
+
+
+def score_pages(pages: DataFrame, id_column: str, text_column: str, host_column: str, sample: int = SAMPLE, prior: float = 20.0) -> DataFrame:
     """``<id_column>, page_score, host_rate, score``: one row per row of ``pages``.
 
     ``page_score`` is the trees' probability of the text alone.  ``host_rate`` is the host's rate
     of pages above one half, smoothed towards the rate of all pages by ``prior`` pages; ``score``
-    shifts the page's log-odds by ``host_weight`` times that of the host against all.  Null, empty
+    shifts the page's log-odds by a fitted weight times that of the host against all.  Null, empty
     and blank texts score 0; pages without a host keep their own score; where no page looks like
     spam to the rules, the share of links and tags is the score.  An empty table gives no rows.
     """
     kind = pages.schema[id_column].dataType.simpleString()
-    rows = pages.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.col(text_column).alias("text"))
-    measured = stage(measure_pages(rows, word_odds(pages, text_column)), "spam-features")
-    weak = measured.where("label >= 0").select("label", "x")
-    sizes = {r.label: r["count"] for r in weak.groupBy("label").count().collect()}
-    forest = None
-    if len(sizes) == 2:
-        rows = []
-        for label in (0, 1):
-            rate = min(1.0, sample / 2 / sizes[label])
-            rows += weak.where(F.col("label") == label).where(F.rand(11 + label) < rate).limit(sample // 2).collect() if rate < 1 else weak.where(F.col("label") == label).collect()
-        x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows])
-        if 0 < y.sum() < len(y):
-            forest = Forest(x, y)
+    split = split_pages(pages, id_column, text_column, host_column)
+    measured = stage(measure_pages(split, word_odds(split)), "spam-features")
+    weak = measured.where("label >= 0").select("id", "host", "label", "x")
+    # a sample that is the same on any cluster: the first ones by a hash of their ids
+    rows = [r for label in (0, 1) for r in weak.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id", "x").limit(sample // 2).select("host", "label", "x").collect()]
+    x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows])
+    forest = Forest(x, y) if rows and 0 < y.sum() < len(y) else None
     scored = stage(measured.select("id", "host", "x").mapInArrow(_score_pages(forest), f"id {kind}, host string, page_score double"), "spam-scores")
     total = scored.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("page_score") > 0.5).cast("int")), F.lit(0)).alias("spam")).collect()[0]
     base = (total.spam + 1) / (total.n + 2)
     hosts = scored.where("host is not null").groupBy("host").agg(((F.sum((F.col("page_score") > 0.5).cast("int")) + base * prior) / (F.count("*") + prior)).alias("host_rate"))
     logit = lambda c: F.log(c / (1 - c))
+    hosts = hosts.withColumn("shift", logit(F.col("host_rate")) - math.log(base / (1 - base)))
+    host_weight = 0.0
+    if forest:
+        known = pages.sparkSession.createDataFrame([(r.host, float(p), int(r.label)) for r, p in zip(rows, forest.held_out, strict=True)], "host string, page double, label int")
+        seen = known.join(hosts, "host").select("page", "shift", "label").collect()  # at most ``sample`` rows
+        if seen:
+            host_weight = fit_host_weight(*(np.array([r[k] for r in seen]) for k in range(3)))
     held = F.least(F.greatest("page_score", F.lit(1e-6)), F.lit(1 - 1e-6))
-    shift = F.coalesce(logit(F.col("host_rate")) - math.log(base / (1 - base)), F.lit(0.0)) * host_weight
+    shift = F.coalesce("shift", F.lit(0.0)) * host_weight
     score = F.when(F.col("page_score") == 0, 0.0).otherwise(1 / (1 + F.exp(-(logit(held) + shift))))
     return scored.join(hosts, "host", "left").select(F.col("id").alias(id_column), "page_score", "host_rate", score.alias("score"))

@@ -169,13 +169,14 @@ def test_all_telling_words_count_however_many(spark):
     rows = [(k, None, " ".join(f"word{chr(97 + k // 4)}{chr(97 + j)}" for j in range(24)) + f" https://shop{k}.example/" + "p" * 900) for k in range(40)]
     rows += [(100 + k, "h", t) for k, (t, _) in enumerate(_pages(100, 5))] + [(None, None, None), (300, None, " "), (301, None, rows[0][2]), (301, None, rows[0][2])]
     df = spark.createDataFrame(rows, "id bigint, host string, text string")
-    words = spam.word_odds(df, "text")
+    split = spam.split_pages(df, "id", "text", "host")
+    words = spam.word_odds(split)
     n = words.count()
     assert n >= 240  # of ten groups of pages, each with its own words
     key = lambda r: str((r.id, r.host, r.label, r.x))
-    sent = sorted(map(key, spam.measure_pages(df, words, n).collect()))
-    assert sent == sorted(map(key, spam.measure_pages(df, words, 20).collect())) and len(sent) == len(rows)
-    hot = {r.id: r.x[spam._F["hot_word_share"]] for r in spam.measure_pages(df, words, 20).collect() if r.x}
+    sent = sorted(map(key, spam.measure_pages(split, words, n).collect()))
+    assert sent == sorted(map(key, spam.measure_pages(split, words, 20).collect())) and len(sent) == len(rows)
+    hot = {r.id: r.x[spam._F["hot_word_share"]] for r in spam.measure_pages(split, words, 20).collect() if r.x}
     assert min(hot[k] for k in range(40)) == 1.0
 
 
@@ -187,6 +188,14 @@ def test_trees_learn_a_rule():
     assert ((f.predict(x[500:]) > 0.5) == y[500:]).mean() > 0.95
 
 
+def test_the_weight_of_hosts_is_fitted():
+    rng = np.random.default_rng(1)
+    label = (rng.random(4000) < 0.4).astype(int)
+    page = 1 / (1 + np.exp(-(2 * label - 1 + rng.normal(0, 1, 4000))))
+    assert spam.fit_host_weight(page, rng.normal(0, 1, 4000), label) <= 0.1
+    assert spam.fit_host_weight(page, (2 * label - 1) * 2.0 + rng.normal(0, 1, 4000), label) >= 0.5
+
+
 def _mix_tables(spark):
     rng = random.Random(2)
     rows = []
