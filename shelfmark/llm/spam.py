@@ -42,7 +42,7 @@ _FUNCTION = frozenset(
 )
 _URL = regex.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*|\b[\w-]{2,}(?:\.[\w-]+)*\.[a-z]{2,}(?=[\s|,;·)\]]|$)", regex.I)
 _HASHTAG = re.compile(r"(?<!\S)#\S+")
-_LINKED = re.compile(r"[\w-]\.[\w-]")
+_LINKED = re.compile(r"://|www\.\S|[\w-]\.[A-Za-z\u017f\u212a]{2}", re.I)
 _DIGIT = re.compile(r"\d")
 _ASCII_WORD = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*|[0-9]+")
 _WORD = regex.compile(r"[\p{Hiragana}]+|[\p{Katakana}ー]+|[\p{Han}]+|[\p{L}\p{M}]+(?:['’-]\p{L}+)*|\p{N}+")
@@ -62,7 +62,7 @@ def _words(text: str) -> list[str]:
 
 def _told(words: list[str]) -> int:
     """How many words are function words; runs of Hiragana count as such."""
-    return sum(w in _FUNCTION or "\u3041" <= w[0] <= "\u309f" for w in words)
+    return sum(map(_FUNCTION.__contains__, words)) + sum("\u3041" <= w[0] <= "\u309f" for w in words if w[0] > "\u3040")
 
 
 class Page:
@@ -83,7 +83,7 @@ class Page:
         self.bare = bare
         untagged = _HASHTAG.sub(" ", bare) if self.tags else bare
         # (size, words, words in lower case) of each stretch between sentence ends
-        self.segments = [(len(x), w, [y.lower() for y in w]) for x in _LATIN_END.split(untagged) if x and not x.isspace() for w in (_words(x),)]
+        self.segments = [(len(x), w, " ".join(w).lower().split(" ") if w else w) for x in _LATIN_END.split(untagged) if x and not x.isspace() for w in (_words(x),)]
         self.bare = untagged
 
     def words(self) -> set[str]:
@@ -100,7 +100,8 @@ class Page:
         lower = [w for _, _, own in self.segments for w in own]
         k = len(lower)
         d = max(k, 1)
-        named = [w for w in lower if not w[0].isdigit()]  # numbers repeat in tables and time marks
+        firsts = [w[0] for w in lower]
+        named = [w for w, digit in zip(lower, map(str.isdigit, firsts), strict=True) if not digit]  # numbers repeat in tables and time marks
         pairs = Counter(zip(named, named[1:], strict=False))
         often = {p for p, c in pairs.items() if c >= 3}
         covered = 0
@@ -117,7 +118,7 @@ class Page:
         raw = self.text.encode("utf-8", "replace")
         return [
             min(self.links / n, 1.0), min(self.tags / n, 1.0), covered / d, max(pairs.values(), default=0) * 2 / d, sum(told) / d, sentences / long,
-            len(_SEPARATOR.findall(self.bare)) / d, sum(w[0].isupper() for w in words) / d, len(_DIGIT.findall(self.bare)) / n,
+            len(_SEPARATOR.findall(self.bare)) / d, sum(map(str.isupper, [w[0] for w in words])) / d, len(_DIGIT.findall(self.bare)) / n,
             k / max(len(self.segments), 1), len(zlib.compress(raw, 1)) / len(raw), math.log1p(k), len(pairs) / d,
         ]
 
