@@ -1,10 +1,11 @@
 """Most similar vectors for every vector, by cross-polytope hashing with multiprobe tables.
 
 A unit vector goes through three rounds of random signs and a fast Hadamard transform, a
-pseudo-rotation, and hashes to its nearest signed axis.  ``depth`` such hashes make the bucket of
-one of ``tables`` tables.  Every vector is stored in its home bucket of each table; a query looks
-into its home bucket and the ``probes`` next likeliest ones, ranked by how much farther the
-swapped axes are.  Buckets compare 8-bit copies of the vectors; every candidate that can be among
+pseudo-rotation, and hashes to its nearest signed axis.  Several such hashes, the last of them
+among fewer axes, make the bucket of a table.  Every vector is stored in its home bucket of each
+table; a query looks into its home bucket and the next likeliest ones, ranked by how much farther
+the swapped axes are.  How many buckets, tables and probes there are follows from the number of
+vectors: the cheapest plan that finds a pair at the wanted distance with the wanted probability.  Buckets compare 8-bit copies of the vectors; every candidate that can be among
 the best within the proven error of its cosine is reranked with the exact distance 1 - cosine of
 the stored vectors.  Where too many of a cell can be (many vectors that are nearly equal), the
 cell's stored vectors are compared themselves.
@@ -17,8 +18,11 @@ of one row, a query to those of one column, so no cell is unbounded and no pair
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from ..runtime import stage
 SEED = 20240117
 #: Candidates that may be among the best, beyond k, for which a cell is not compared exactly.
 MORE = 11
+#: Up to so many hot buckets are broadcast; more are joined by shuffle, with equal rows.
+SENT_BUCKETS = 100_000
 
 
 def usable_vectors(embeddings: DataFrame, model_id: int, dim: int) -> DataFrame:
@@ -84,31 +90,97 @@ def pseudo_rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_codes(unit: np.ndarray, table: int, depth: int, probes: int) -> np.ndarray:
-    """The codes of the home bucket and the next ``probes`` ones of each row, home first."""
+def hash_axes(bits: int, dim: int) -> tuple[int, ...]:
+    """The axes of each hash of a table of 2 ** ``bits`` buckets: all, but fewer for the last; no hash for one bucket."""
+    width = 1 << (dim - 1).bit_length()
+    whole = (2 * width).bit_length() - 1
+    rest = bits % whole
+    return (width,) * (bits // whole) + ((1 << (rest - 1),) if rest else ())
+
+
+@lru_cache(maxsize=256)
+def _choices(sizes: tuple[int, ...], probes: int) -> np.ndarray:
+    """Which alternative of each hash is taken, for all combinations that can be among the first ``probes`` + 1."""
+    found: list[tuple[int, ...]] = [()]
+    for size in sizes:
+        found = [(*c, x) for c in found for x in range(size) if math.prod(y + 1 for y in (*c, x)) <= probes + 1 or (sum(c) == 0 and x > 0) or (sum(y > 0 for y in c) == 1 and x == 0)]
+    return np.array(found, np.int64).reshape(len(found), len(sizes))
+
+
+def bucket_codes(unit: np.ndarray, table: int, axes: tuple[int, ...], probes: int) -> np.ndarray:
+    """The codes of the home bucket and up to ``probes`` next ones of each row, home first."""
     n, d = unit.shape
     width = 1 << (d - 1).bit_length()
     padded = np.zeros((n, width), np.float32)
     padded[:, :d] = unit
-    alternatives = min(width, probes + 1)
-    axes = np.empty((depth, n, alternatives), np.int64)
-    costs = np.empty((depth, n, alternatives), np.float32)
-    for level in range(depth):
-        rng = np.random.default_rng([SEED, table, level])
-        turned = pseudo_rotate(padded, rng.choice(np.array([-1, 1], np.float32), (3, width)))
-        size = np.abs(turned)
-        best = np.argpartition(-size, alternatives - 1, axis=1)[:, :alternatives] if alternatives < width else np.argsort(-size, axis=1)
-        order = np.argsort(-np.take_along_axis(size, best, 1), axis=1, kind="stable")
-        best = np.take_along_axis(best, order, 1)
-        value = np.take_along_axis(turned, best, 1)
-        axes[level] = best + width * (value < 0)
-        gap = np.abs(value[:, :1]) - np.abs(value)
-        costs[level] = gap * gap
-    choices = [c for c in product(range(alternatives), repeat=depth) if np.prod([x + 1 for x in c]) <= probes + 1 or sum(x > 0 for x in c) <= 1]
-    total = np.stack([sum(costs[level][:, c[level]] for level in range(depth)) for c in choices], axis=1)
-    codes = np.stack([sum(axes[level][:, c[level]] * (2 * width) ** level for level in range(depth)) for c in choices], axis=1)
-    take = np.argsort(total, axis=1, kind="stable")[:, : probes + 1]
-    return np.take_along_axis(codes, take, 1) + table * (2 * width) ** depth
+    own = np.zeros((n, 1), np.int64)
+    if axes:
+        near, cost = [], []
+        for level, size in enumerate(axes):
+            rng = np.random.default_rng([SEED, table, level])
+            turned = pseudo_rotate(padded, rng.choice(np.array([-1, 1], np.float32), (3, width)))[:, :size]
+            both = np.concatenate([turned, -turned], axis=1) / np.float32(width**1.5)
+            kept = min(2 * size, probes + 1)
+            best = np.argpartition(-both, kept - 1, axis=1)[:, :kept] if kept < 2 * size else np.tile(np.arange(2 * size), (n, 1))
+            value = np.take_along_axis(both, best, 1)
+            order = np.argsort(-value, axis=1, kind="stable")
+            near.append(np.take_along_axis(best, order, 1))
+            value = np.take_along_axis(value, order, 1)
+            cost.append((value[:, :1] - value) ** 2)
+        choices = _choices(tuple(x.shape[1] for x in near), probes)
+        total = sum(c[:, choices[:, level]] for level, c in enumerate(cost))
+        take = np.argsort(total, axis=1, kind="stable")[:, : probes + 1]
+        own, factor = np.zeros(take.shape, np.int64), 1
+        for level, x in enumerate(near):
+            own += np.take_along_axis(x, choices[:, level][take], 1) * factor
+            factor *= 2 * axes[level]
+    return own + (table << 48)
+
+
+class Plan(NamedTuple):
+    """The axes of each hash, and the numbers of tables and of probes beside the home bucket."""
+
+    axes: tuple[int, ...]
+    tables: int
+    probes: int
+
+
+@lru_cache(maxsize=256)
+def _found_at(dim: int, axes: tuple[int, ...], distance: float, most: int) -> np.ndarray:
+    """The share of pairs at ``distance`` that a table finds with 0, 1, ... ``most`` probes, on 600 random pairs."""
+    rng = np.random.default_rng([SEED, dim])
+    a, b = rng.standard_normal((2, 600, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = 1 - distance
+    b = cosine * a + math.sqrt(max(1 - cosine * cosine, 0)) * b
+    hits = bucket_codes(a.astype(np.float32), 999, axes, most) == bucket_codes(b.astype(np.float32), 999, axes, 0)
+    return np.pad(np.cumsum(hits.mean(axis=0)), (0, max(most + 1 - hits.shape[1], 0)), "edge")[: most + 1]
+
+
+#: Seconds of moving a hashed row and of one comparison, by which plans are told apart.
+ROW_COST, PAIR_COST = 2e-6, 1.5e-8
+#: Most tables, and most probes where every vector asks and where few do.
+TABLES, PROBES, FEW_PROBES = 12, 16, 400
+
+
+def choose_plan(stored: int, asking: int, dim: int, distance: float, recall: float) -> Plan:
+    """The cheapest plan whose tables find a pair at ``distance`` with the probability ``recall``."""
+    probes = PROBES if 4 * asking > stored else FEW_PROBES
+    best = (ROW_COST * (stored + asking) + PAIR_COST * stored * asking, Plan((), 1, 0))
+    for bits in range(1, max(stored, 2).bit_length()):
+        axes = hash_axes(bits, dim)
+        found = np.minimum(_found_at(dim, axes, distance, probes), 1 - 1e-12)
+        # tables needed with each number of probes
+        tables = np.maximum(np.ceil(math.log(1 - recall) / np.log1p(-np.maximum(found, 1e-12))), 1)
+        asked = np.arange(1, probes + 2)
+        cost = tables * (ROW_COST * (stored + asking * asked) + PAIR_COST * asking * asked * stored / 2**bits)
+        cost[(tables > TABLES) | (asked > 2**bits)] = np.inf
+        k = int(np.argmin(cost))
+        if cost[k] < best[0]:
+            best = (float(cost[k]), Plan(axes, int(tables[k]), k))
+    return best[1]
 
 
 def sketch(unit: np.ndarray) -> np.ndarray:
@@ -131,27 +203,54 @@ _HASHED_DDL = "bucket bigint, id bigint, role tinyint, code binary"
 STORED, QUERY, BOTH = 1, 2, 3
 
 
-def _hash(dim: int, tables: int, depth: int, probes: int, every_row_asks: bool):
+def _buckets(part: pa.RecordBatch, dim: int, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of rows (id, vector, asks); the bucket, row and role of each entry of the tables."""
+    unit = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f4").reshape(-1, dim)
+    asks = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+    buckets, rows, roles = [], [], []
+    for table in range(plan.tables):
+        found = bucket_codes(unit, table, plan.axes, plan.probes)
+        buckets += [found[:, 0], found[asks, 1:].ravel()]
+        rows += [np.arange(len(unit)), np.repeat(np.flatnonzero(asks), found.shape[1] - 1)]
+        roles += [np.where(asks, BOTH, STORED), np.full(len(rows[-1]), QUERY)]
+    return unit, np.concatenate(buckets), np.concatenate(rows), np.concatenate(roles)
+
+
+def _hash(dim: int, plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                unit = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f4").reshape(-1, dim)
-                ids = part.column(0).to_numpy()
-                asks = np.ones(len(ids), bool) if every_row_asks else part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                codes = [x.tobytes() for x in sketch(unit)]
-                buckets, rows, roles = [], [], []
-                for table in range(tables):
-                    found = bucket_codes(unit, table, depth, probes)
-                    buckets.append(found[:, 0])
-                    rows.append(np.arange(len(ids)))
-                    roles.append(np.where(asks, BOTH, STORED))
-                    if probes:
-                        buckets.append(found[asks, 1:].ravel())
-                        rows.append(np.repeat(np.flatnonzero(asks), found.shape[1] - 1))
-                        roles.append(np.full(len(rows[-1]), QUERY))
-                row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(ids[row]), pa.array(np.concatenate(roles), pa.int8()), pa.array(codes, pa.binary()).take(pa.array(row))], schema=_HASHED)
+                unit, buckets, rows, roles = _buckets(part, dim, plan)
+                codes = pa.array([x.tobytes() for x in sketch(unit)], pa.binary())
+                for k in range(0, len(rows), 50_000):
+                    own = pa.array(rows[k : k + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets[k : k + 50_000]), part.column(0).take(own), pa.array(roles[k : k + 50_000], pa.int8()), codes.take(own)], schema=_HASHED)
+
+    return run
+
+
+def _bucket_sizes(dim: int, plan: Plan):
+    """How many rows of a task are stored in each bucket, and how many ask there."""
+    schema = pa.schema([("bucket", pa.int64()), ("stored", pa.int64()), ("asking", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def emit() -> pa.RecordBatch:
+            buckets, at = np.unique(np.concatenate([b for b, _ in held]), return_inverse=True)
+            roles = np.concatenate([r for _, r in held])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(buckets)] + [pa.array(np.bincount(at, weights=(roles & role) > 0, minlength=len(buckets)).astype(np.int64)) for role in (STORED, QUERY)], schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                _, buckets, _, roles = _buckets(batch.slice(at, 2048), dim, plan)
+                held.append((buckets, roles))
+                if sum(len(b) for b, _ in held) > 2_000_000:
+                    yield emit()
+        if held:
+            yield emit()
 
     return run
 
@@ -275,16 +374,17 @@ def nearest(
     k: int = 5,
     max_distance: float | None = None,
     queries=None,
-    tables: int = 3,
-    depth: int = 2,
-    probes: int = 1,
+    distance: float | None = None,
+    recall: float = 0.9,
+    plan: Plan | None = None,
     block: int = 8192,
 ) -> DataFrame:
     """``id, other, distance``: the ``k`` nearest other vectors of every vector, or of ``queries``.
 
     ``vectors`` has the columns of ``usable_vectors``.  ``queries`` is a condition on ``id``;
-    without it every vector asks.  Distances beyond ``max_distance`` are left out.  Equal
-    distances are taken in the order of ``other``.  A vector without neighbours in its buckets
+    without it every vector asks.  Distances beyond ``max_distance`` are left out.  Hashing is
+    planned to find a pair at ``distance`` (by default ``max_distance``, or else 0.5) from one of
+    its sides with the probability ``recall``; nearer ones are found more often.  Equal distances are taken in the order of ``other``.  A vector without neighbours in its buckets
     has no row; empty tables give none.  Neighbours may be missed (hashing); copies never are.
     """
     vectors = stage(vectors, "unit-vectors")
@@ -298,20 +398,21 @@ def nearest(
     else:  # a point asks for all its copies
         asking = vectors.where(queries).select("key").distinct().withColumn("asks", F.lit(True))
         points = alone.join(asking, "key", "left").select("id", "vector", F.coalesce("asks", F.lit(False)).alias("asks"))
-    hashed = points.mapInArrow(_hash(dim, tables, depth, probes, queries is None), _HASHED_DDL)
-    return _finish(vectors, copies, hashed, dim, k, max_distance, queries, block)
+    if plan is None:
+        n = points.agg(F.count("*").alias("stored"), F.count_if("asks").alias("asking")).collect()[0]
+        plan = choose_plan(n.stored, n.asking, dim, distance or max_distance or 0.5, recall)
+    hashed = points.mapInArrow(_hash(dim, plan), _HASHED_DDL)
+    sizes = points.mapInArrow(_bucket_sizes(dim, plan), "bucket bigint, stored bigint, asking bigint").groupBy("bucket").agg(F.sum("stored").alias("stored"), F.sum("asking").alias("asking"))
+    return _finish(vectors, copies, hashed, sizes, dim, k, max_distance, queries, block)
 
 
-def _finish(vectors, copies, hashed, dim, k, max_distance, queries, block) -> DataFrame:
+def _finish(vectors, copies, hashed, sizes, dim, k, max_distance, queries, block) -> DataFrame:
     spark = vectors.sparkSession
-    hashed = stage(hashed, "vector-buckets")
     stores, asks = F.col("role").cast("int").bitwiseAND(STORED) > 0, F.col("role").cast("int").bitwiseAND(QUERY) > 0
-    sizes = hashed.groupBy("bucket").agg(F.count_if(stores).alias("stored"), F.count_if(asks).alias("asking"))
-    # At most 2 * (rows) / block buckets are hot, whatever the data.
     hot = sizes.where((F.col("stored") > block) | (F.col("asking") > block))
     cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
-    hot = hot.select("bucket", cut("stored").alias("down"), cut("asking").alias("across"))
-    split = hashed.join(F.broadcast(hot), "bucket", "left")
+    hot = stage(hot.select("bucket", cut("stored").alias("down"), cut("asking").alias("across")), "hot-buckets")
+    split = hashed.join(F.broadcast(hot) if hot.count() <= SENT_BUCKETS else hot, "bucket", "left")
     # A hot bucket is a grid: a stored row goes to all cells of its row, a query to all cells of its column.
     down, across = F.col("down"), F.col("across")
     own_row, own_column = F.pmod(F.xxhash64("id"), down).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), across).cast("int")

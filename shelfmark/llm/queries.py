@@ -44,13 +44,13 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import near_pairs, nearest, usable_vectors
 
-    return near_pairs(nearest(usable_vectors(read_table(spark, sf_dir, "image_embeddings"), 1, 64), 64, 5, 0.1, tables=3, probes=2))
+    return near_pairs(nearest(usable_vectors(read_table(spark, sf_dir, "image_embeddings"), 1, 64), 64, 5, 0.1, recall=0.8))  # from either side of a pair
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest, usable_vectors
 
-    found = nearest(usable_vectors(read_table(spark, sf_dir, "image_embeddings"), 1, 64), 64, 5, queries=F.col("id") % 100 == 0, tables=2, depth=1, probes=40)
+    found = nearest(usable_vectors(read_table(spark, sf_dir, "image_embeddings"), 1, 64), 64, 5, queries=F.col("id") % 100 == 0, distance=0.5, recall=0.9)
     return found.select(F.col("id").alias("image_id"), F.col("other").alias("neighbour_id"), "distance")
 
 
