@@ -160,7 +160,7 @@ def _found_at(dim: int, axes: tuple[int, ...], distance: float, most: int) -> np
 
 
 #: Seconds of moving a hashed row and of one comparison, by which plans are told apart.
-ROW_COST, PAIR_COST = 2e-6, 1.5e-8
+ROW_COST, PAIR_COST = 8e-6, 1e-8
 #: Most tables, and most probes where every vector asks and where few do.
 TABLES, PROBES, FEW_PROBES = 12, 16, 400
 
@@ -390,23 +390,24 @@ def nearest(
     vectors = stage(vectors, "unit-vectors")
     # Copies: the first k + 1 ids of each key; the smallest stands for all of them.
     by_key = Window.partitionBy("key").orderBy("id")
-    first = vectors.select("id", "key").withColumn("rn", F.row_number().over(by_key)).where(F.col("rn") <= k + 1)
+    first = vectors.withColumn("rn", F.row_number().over(by_key)).where(F.col("rn") <= k + 1)
+    first = stage(first.select("id", "key", "rn", F.when(F.col("rn") == 1, F.col("vector")).alias("vector")), "vector-points")
     copies = stage(first.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vector-copies")
-    alone = vectors.join(copies.select(F.col("ids")[0].alias("id")), "id", "left_semi")
+    alone = first.where("rn = 1").select("id", "key", "vector")
     if queries is None:
         points = alone.select("id", "vector", F.lit(True).alias("asks"))
     else:  # a point asks for all its copies
         asking = vectors.where(queries).select("key").distinct().withColumn("asks", F.lit(True))
-        points = alone.join(asking, "key", "left").select("id", "vector", F.coalesce("asks", F.lit(False)).alias("asks"))
+        points = stage(alone.join(asking, "key", "left").select("id", "vector", F.coalesce("asks", F.lit(False)).alias("asks")), "vector-asking")
     if plan is None:
         n = points.agg(F.count("*").alias("stored"), F.count_if("asks").alias("asking")).collect()[0]
         plan = choose_plan(n.stored, n.asking, dim, distance or max_distance or 0.5, recall)
     hashed = points.mapInArrow(_hash(dim, plan), _HASHED_DDL)
     sizes = points.mapInArrow(_bucket_sizes(dim, plan), "bucket bigint, stored bigint, asking bigint").groupBy("bucket").agg(F.sum("stored").alias("stored"), F.sum("asking").alias("asking"))
-    return _finish(vectors, copies, hashed, sizes, dim, k, max_distance, queries, block)
+    return _finish(vectors, alone, copies, hashed, sizes, dim, k, max_distance, queries, block)
 
 
-def _finish(vectors, copies, hashed, sizes, dim, k, max_distance, queries, block) -> DataFrame:
+def _finish(vectors, alone, copies, hashed, sizes, dim, k, max_distance, queries, block) -> DataFrame:
     spark = vectors.sparkSession
     stores, asks = F.col("role").cast("int").bitwiseAND(STORED) > 0, F.col("role").cast("int").bitwiseAND(QUERY) > 0
     hot = sizes.where((F.col("stored") > block) | (F.col("asking") > block))
@@ -434,7 +435,7 @@ def _finish(vectors, copies, hashed, sizes, dim, k, max_distance, queries, block
         cells = rows.select("bucket", "part", "id", F.col("role").cast("int").alias("role")).join(open_.select("bucket", "part").distinct(), ["bucket", "part"], "left_semi")
         cells = cells.join(open_.withColumn("again", F.lit(QUERY)), ["bucket", "part", "id"], "left")
         role = F.col("role").bitwiseAND(F.lit(STORED).bitwiseOR(F.coalesce("again", F.lit(0)))).cast("tinyint")
-        cells = cells.withColumn("role", role).where("role > 0").join(vectors.select("id", "vector"), "id").select("bucket", "part", "id", "role", "vector")
+        cells = cells.withColumn("role", role).where("role > 0").join(alone.select("id", "vector"), "id").select("bucket", "part", "id", "role", "vector")
         found = found.unionByName(by_cell(cells).mapInArrow(_compare(dim, k, least, True), _CANDIDATE_DDL).select("id", "other", "lower", "upper"))
     # what may be among the k best over all: its cosine can reach the k-th best lower bound
     best = Window.partitionBy("id").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -446,7 +447,7 @@ def _finish(vectors, copies, hashed, sizes, dim, k, max_distance, queries, block
         found = found.select("id", "other")
     found = stage(found, "vector-candidates")
     needed = found.select("id").union(found.select(F.col("other").alias("id"))).distinct()
-    exact_rows = vectors.select("id", "vector").join(needed, "id", "left_semi")
+    exact_rows = alone.select("id", "vector").join(needed, "id", "left_semi")
     a = exact_rows.select("id", F.col("vector").alias("va"))
     b = exact_rows.select(F.col("id").alias("other"), F.col("vector").alias("vb"))
     measured = found.join(a, "id").join(b, "other").select("id", "other", "va", "vb").mapInArrow(_exact(dim), "id bigint, other bigint, distance double")

@@ -44,7 +44,7 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import near_pairs, nearest, usable_vectors
 
-    return near_pairs(nearest(usable_vectors(read_table(spark, sf_dir, "image_embeddings"), 1, 64), 64, 5, 0.1, recall=0.8))  # from either side of a pair
+    return near_pairs(nearest(usable_vectors(read_table(spark, sf_dir, "image_embeddings"), 1, 64), 64, 5, 0.1, recall=0.95))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
