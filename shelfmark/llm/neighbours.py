@@ -389,11 +389,14 @@ def nearest(
     """
     vectors = stage(vectors, "unit-vectors")
     # Copies: the first k + 1 ids of each key; the smallest stands for all of them.
+    light = vectors.select("id", "key")
+    dup = stage(light.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"), "vector-copied")
+    extra = stage(light.join(dup, "key").where(F.col("id") != F.col("leader")).select("id"), "vector-extra")
+    alone = vectors.join(extra, "id", "left_anti")
     by_key = Window.partitionBy("key").orderBy("id")
-    first = vectors.withColumn("rn", F.row_number().over(by_key)).where(F.col("rn") <= k + 1)
-    first = stage(first.select("id", "key", "rn", F.when(F.col("rn") == 1, F.col("vector")).alias("vector")), "vector-points")
-    copies = stage(first.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vector-copies")
-    alone = first.where("rn = 1").select("id", "key", "vector")
+    first = light.join(dup, "key", "left_semi").withColumn("rn", F.row_number().over(by_key)).where(F.col("rn") <= k + 1)
+    lists = first.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    copies = stage(alone.select("id", "key").join(lists, "key", "left").select("key", F.coalesce("ids", F.array("id")).alias("ids")), "vector-copies")
     if queries is None:
         points = alone.select("id", "vector", F.lit(True).alias("asks"))
     else:  # a point asks for all its copies
