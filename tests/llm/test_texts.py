@@ -224,6 +224,14 @@ def test_mixture_meets_its_targets(spark):
     ids = {r.doc_id for r in used}
     assert len(ids & set(range(700, 1000))) <= 1  # copies are one text
     assert not ids & {1100, 1101, 1103}
+    assert all(r.settled for r in report.values())
+
+
+def test_a_text_also_found_elsewhere_stays(spark):
+    rows = [(k, f"text number {k}", "web") for k in range(20)] + [(100, "text number 3", "elsewhere"), (101, "only there", "elsewhere")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    m = mixing.mix(docs, spark.createDataFrame([("web", 1.0, 1)], "source string, weight double, max_repeats int"))
+    assert {r.doc_id: r.copies for r in m.texts.collect()} == {k: 1 for k in range(20)}
 
 
 def test_mixture_of_nothing(spark):
