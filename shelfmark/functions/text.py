@@ -38,20 +38,25 @@ NOISY = (
     r"(?i)^[0-9a-f]{16,}$",
     r"(?i)^[a-z0-9+/=]{20,}$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)^(img|dsc|dscf|gopr|mvi|vid|pxl|screenshot)[_-]?[0-9]+$",
-    r"^[0-9]{8}[_-]?[0-9]{4,6}$",
-    r"^[0-9]+$",
+    r"(?i)^(img|dsc|dscf|gopr|mvi|vid|pxl|screenshot)[_-]?\d+$",
+    r"^\d{8}[_-]?\d{4,6}$",
+    r"^\d+$",
 )
 
 
 def filename_hint(name: Column) -> Column:
-    """Words of a file name that say something: null for noisy names and such of fewer than two words of three letters."""
-    stem = trimmed(F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"\.[^.]*$", ""))
-    words = F.substring(F.trim(F.regexp_replace(F.regexp_replace(stem, r"[_\-.]+", " "), r"\s+", " ")), 1, 80)
+    """Words of a file name that say something: null for noisy names and such of fewer than two words of three Latin letters.
+
+    Both are told from the words in lower case, joined by single blanks and cut to 80 characters.
+    """
+    stem = F.regexp_replace(F.regexp_replace(trimmed(name), r"^.*[/\\]", ""), r"\.[^.]*$", "")
+    spaced = trimmed(F.regexp_replace(F.regexp_replace(stem, r"[_\-.]", " "), r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    words = trimmed(F.substring(F.regexp_replace(spaced, r"[\x{0}-\x{1F}]", ""), 1, 80))
+    low = F.lower(words)
     noisy = F.lit(False)
     for pattern in NOISY:
-        noisy = noisy | stem.rlike(pattern)
-    telling = F.size(F.filter(F.split(words, " "), lambda w: F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 3))
+        noisy = noisy | low.rlike(pattern)
+    telling = F.size(F.filter(F.split(low, " "), lambda w: F.length(F.regexp_replace(w, "[^a-z]", "")) >= 3))
     return F.when(~noisy & (telling >= 2), words)
 
 

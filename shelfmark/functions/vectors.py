@@ -15,6 +15,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda it would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -46,22 +51,22 @@ def cosine_distance(a: Column, b: Column, strict: bool = False) -> Column:
 def normalized(v: Column) -> Column:
     """The unit vector as float32; null for empty vectors and such without a direction."""
     n2 = squared_norm(v)
-    inverse = (1 / F.sqrt(n2)).cast("float")
-    return F.when((F.size(v) > 0) & (n2 >= TINY), F.transform(v.cast("array<float>"), lambda x: (x * inverse).cast("float")))
+    unit = _let((1 / F.sqrt(n2)).cast("float"), lambda inverse: F.transform(v.cast("array<float>"), lambda x: (x * inverse).cast("float")))
+    return F.when((F.size(v) > 0) & (n2 >= TINY), unit)
 
 
 def native_normalized(v: Column) -> Column:
     """The unit vector; a vector whose squares sum to 0 stays as it is."""
     n2 = squared_norm(v)
-    return F.when(n2 > 0, F.transform(doubles(v), lambda x: (x / F.sqrt(n2)).cast("float"))).otherwise(v.cast("array<float>"))
+    unit = _let(F.sqrt(n2), lambda length: F.transform(doubles(v), lambda x: (x / length).cast("float")))
+    return F.when(n2 > 0, unit).otherwise(v.cast("array<float>"))
 
 
 def without(query: Column, negative: Column) -> Column:
     """Query minus negative, renormalized; the plain query if nothing is left or lengths differ with null negative."""
     difference = F.zip_with(doubles(query), doubles(negative), lambda x, y: (x - y).cast("float"))
     n2 = squared_norm(difference)
-    inverse = (1 / F.sqrt(n2)).cast("float")
-    moved = F.transform(difference, lambda x: (x * inverse).cast("float"))
+    moved = _let((1 / F.sqrt(n2)).cast("float"), lambda inverse: F.transform(difference, lambda x: (x * inverse).cast("float")))
     wrong = F.raise_error(F.lit("query and negative query differ in length")).cast("array<float>")
     return F.when(negative.isNull(), query.cast("array<float>")).when(F.size(query) != F.size(negative), wrong).when(n2 < TINY, query.cast("array<float>")).otherwise(moved)
 
@@ -72,20 +77,25 @@ def feedback_query(seed: Column, liked: Column, skipped: Column) -> Column:
     ``liked`` and ``skipped`` are mean vectors or null; with neither, and where the seed has no
     direction or the sum none, the plain seed is returned.
     """
-    unit = normalized(seed)
     zero = F.transform(doubles(seed), lambda x: F.lit(0.0))
     part = lambda mean, weight: F.coalesce(F.transform(doubles(mean), lambda x: x * weight), zero)
     delta = F.zip_with(part(liked, LIKED), part(skipped, -SKIPPED), lambda x, y: x + y)
-    length = F.sqrt(squared_norm(delta))
-    scale = F.when(length > DRIFT, DRIFT / length).otherwise(1.0)
-    moved = normalized(F.zip_with(doubles(unit), delta, lambda x, d: (x + d * scale).cast("float")))
+    scale = lambda length: F.when(length > DRIFT, DRIFT / length).otherwise(1.0)
+    held = _let(delta, lambda d: _let(scale(F.sqrt(squared_norm(d))), lambda s: F.transform(d, lambda x: x * s)))
+    moved = _let(F.zip_with(doubles(normalized(seed)), held, lambda x, d: (x + d).cast("float")), normalized)
     return F.when(liked.isNull() & skipped.isNull(), seed.cast("array<float>")).otherwise(F.coalesce(moved, seed.cast("array<float>")))
 
 
 def mean_vector(rows, key: list[str], vector: str, dim: int | None = None):
-    """DataFrame: the mean of the normalized vectors per key; wrong lengths and vectors without a direction are passed over."""
+    """DataFrame: the mean of the normalized vectors per key; wrong lengths and vectors without a direction are passed over.
+
+    With ``dim`` the places are ``dim`` averages of one aggregation, summed where the rows lie.
+    """
     unit = rows.select(*key, normalized(F.col(vector)).alias("unit"))
-    unit = unit.where(F.col("unit").isNotNull() if dim is None else (F.size("unit") == dim))
+    if dim is not None:
+        sums = unit.where(F.size("unit") == dim).groupBy(*key).agg(*[F.avg(F.col("unit")[k].cast("double")).alias(f"m{k}") for k in range(dim)])
+        return sums.select(*key, F.array(*[F.col(f"m{k}") for k in range(dim)]).alias("mean"))
+    unit = unit.where(F.col("unit").isNotNull())
     places = unit.select(*key, F.posexplode("unit").alias("pos", "x"))
     means = places.groupBy(*key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return means.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance, normalized
+from ..functions.vectors import normalized
 
 
 @dataclass
@@ -19,23 +23,67 @@ class SearchDebug:
     quantized: bool | None = None
 
 
+#: A hit list up to this size comes to the driver, which makes it a small table of its own.
+SMALL_LIST = 10_000
+_HIT = "rank int, image_id bigint, distance double"
+
+
+def _nearest(query: np.ndarray, k: int, strict: bool):
+    """Columns in: image_id, vector; out: the ``k`` nearest rows of a task, by distance and id."""
+    norm = float(np.sqrt((query * query).sum()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, distances = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            vectors = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            if strict and ((lengths >= 0) & (lengths != len(query))).any():
+                raise ValueError("vector dimensions differ")
+            fits = np.flatnonzero((lengths == len(query)) & (len(query) > 0))
+            if not len(fits):
+                continue
+            rows = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+            size = np.sqrt((rows * rows).sum(axis=1)) * norm
+            # sums row by row, so that equal vectors have equal distances
+            distance = 1 - np.divide((rows * query).sum(axis=1), size, out=np.zeros(len(fits)), where=size > 0)
+            good = ~np.isnan(rows).any(axis=1)
+            ids = np.concatenate([ids, batch.column(0).to_numpy(zero_copy_only=False)[fits][good].astype(np.int64)])
+            distances = np.concatenate([distances, distance[good]])
+            if len(ids) > k:
+                best = np.lexsort((ids, distances))[:k]
+                ids, distances = ids[best], distances[best]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(distances)], names=["image_id", "distance"])
+
+    return run
+
+
 def search(embeddings: DataFrame, query: DataFrame, k: int = 20, strict: bool = False) -> DataFrame:
     """``rank, image_id, distance`` of the ``k`` nearest rows of ``embeddings`` (image_id, vector).
 
-    ``query`` has one row with the column ``query``; it is sent to the rows, which are scored
-    where they lie, and each task keeps its own best k.  Ties go to the smaller id.  Rows that
-    cannot be compared are passed over, or raise an error with ``strict``.  No query row, no hits.
+    ``query`` has one row with the column ``query``, which is read here and sent to the tasks; each
+    scores its rows batch by batch and keeps its own best k.  Ties go to the smaller id.  Rows that
+    cannot be compared (null, of another length, or with nulls or NaN) are passed over; other
+    lengths raise an error with ``strict``.  No query row, no hits.
     """
-    scored = embeddings.crossJoin(F.broadcast(query.select("query").limit(1))).select("image_id", cosine_distance(F.col("vector"), F.col("query"), strict).alias("distance"))
-    best = scored.where("distance is not null").orderBy("distance", "image_id").limit(k)
-    return best.select(F.row_number().over(Window.orderBy("distance", "image_id")).alias("rank"), "image_id", "distance")
+    spark = embeddings.sparkSession
+    rows = query.select("query").limit(1).collect()
+    if not rows or rows[0].query is None or k <= 0:
+        return spark.createDataFrame([], _HIT)
+    vector = np.array([np.nan if x is None else x for x in rows[0].query], np.float64)
+    near = embeddings.select(F.col("image_id").cast("bigint"), "vector").mapInArrow(_nearest(vector, k, strict), "image_id bigint, distance double")
+    best = near.orderBy("distance", "image_id").limit(k)
+    if k > SMALL_LIST:
+        return best.select(F.row_number().over(Window.orderBy("distance", "image_id")).alias("rank"), "image_id", "distance")
+    return spark.createDataFrame([(n + 1, r.image_id, r.distance) for n, r in enumerate(best.collect())], _HIT)
 
 
 def search_by_id(embeddings: DataFrame, seed: DataFrame, k: int = 20) -> DataFrame:
     """Neighbours of the stored vector of ``seed`` (one row, image_id), itself left out; none if it is not stored."""
-    query = embeddings.join(F.broadcast(seed.select(F.col("image_id").alias("seed_id")).limit(1)), F.col("image_id") == F.col("seed_id")).select("seed_id", F.col("vector").alias("query"))
-    others = embeddings.join(F.broadcast(seed.select("image_id").limit(1)), "image_id", "left_anti")
-    return search(others, query, k)
+    rows = seed.select("image_id").limit(1).collect()
+    if not rows or rows[0].image_id is None:
+        return seed.sparkSession.createDataFrame([], _HIT)
+    mine = F.col("image_id") == rows[0].image_id
+    return search(embeddings.where(~mine), embeddings.where(mine).select(F.col("vector").alias("query")), k)
 
 
 def quantized(embeddings: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stage
 from ..sources.library import Library
 
 #: Kinds by priority.
@@ -150,21 +151,32 @@ def _reset(jobs: DataFrame, hit: Column, now: Column) -> DataFrame:
     return jobs.withColumns({"state": put("state", F.lit("pending")), "attempts": put("attempts", F.lit(0)), "run_after": put("run_after", _null("timestamp")), "leased_until": put("leased_until", _null("timestamp")), "lease_owner": put("lease_owner", _null("string")), "last_error": put("last_error", _null("string")), "updated_at": put("updated_at", now)})
 
 
-def requeue_unannotated(lib: Library, now: Column) -> DataFrame:
-    """The queue with done annotate jobs of standalone images that still lack an annotation pending again."""
+def requeue_unannotated(lib: Library, now: Column, jobs: DataFrame | None = None) -> DataFrame:
+    """The queue (``lib.jobs`` by default) with done annotate jobs of standalone images that still lack an annotation pending again."""
+    jobs = lib.jobs if jobs is None else jobs
+    joined, hit = _requeued(lib, jobs)
+    return _reset(joined, hit, now).select(*jobs.columns)
+
+
+def _requeued(lib: Library, jobs: DataFrame) -> tuple[DataFrame, Column]:
     lacking = lib.standalone(lib.images.where(annotation_missing())).select("image_id").distinct().withColumn("_lacks", F.lit(True))
-    jobs = lib.jobs
     joined = jobs.join(lacking, "image_id", "left")
-    hit = (F.col("kind") == "annotate_image") & (F.col("model_id") == lib.model_id) & (F.col("state") == "done") & F.col("_lacks").isNotNull()
-    return _reset(joined, hit, now).select(*jobs.columns)
+    return joined, (F.col("kind") == "annotate_image") & (F.col("model_id") == lib.model_id) & (F.col("state") == "done") & F.col("_lacks").isNotNull()
+
 
+def retry_failed(lib: Library, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The next queue, the missing jobs of all kinds, and one row ``retried, enqueued``.
 
-def retry_failed(lib: Library, now: Column) -> tuple[DataFrame, DataFrame]:
-    """The queue with the model's failed jobs pending again, and the missing jobs of all kinds."""
+    The model's failed jobs and its done annotate jobs that lack an annotation are pending again;
+    ``enqueued`` counts the latter and the missing jobs.
+    """
     hit = (F.col("model_id") == lib.model_id) & (F.col("state") == "failed")
-    jobs = _reset(lib.jobs, hit, now)
+    jobs = requeue_unannotated(lib, now, _reset(lib.jobs, hit, now))
     more = missing_embed_jobs(lib).unionByName(missing_annotate_jobs(lib)).unionByName(missing_annotate_video_jobs(lib)).unionByName(missing_transcribe_jobs(lib))
-    return jobs, more
+    joined, again = _requeued(lib, lib.jobs)
+    changed = joined.agg(F.count_if(hit).alias("retried"), F.count_if(again).alias("requeued"))
+    counts = changed.crossJoin(more.agg(F.count("*").alias("missing"))).select("retried", (F.col("requeued") + F.col("missing")).alias("enqueued"))  # one row each
+    return jobs, more, counts
 
 
 def request_reannotation(jobs: DataFrame, key: str, kind: str, model_id: int, items: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +218,8 @@ def process_batch(jobs: DataFrame, handlers: dict, model_id: int, now: Column, n
     """Claim up to ``n`` jobs of one kind, run their handler, and give the next queue; a failed job does not stop the others."""
     if not handlers:
         raise ValueError("no handlers")
-    chosen = claimable(jobs, model_id, now, n, tuple(k for k in KINDS if k in handlers))
+    # both are written, so that a job is chosen once and its handler runs once
+    chosen = stage(claimable(jobs, model_id, now, n, tuple(k for k in KINDS if k in handlers)), "claimed")
     leased = claim(jobs, chosen, owner, now, lease_seconds)
-    outcome = dispatch(chosen, handlers)
+    outcome = stage(dispatch(chosen, handlers), "outcome")
     return complete(fail_or_retry(leased, outcome.where("error is not null"), now), outcome.where("error is null"), now)

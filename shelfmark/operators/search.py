@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.params import search_window, video_window
 from ..functions.tags import matches, normalized_tags
-from ..functions.vectors import cosine_distance, feedback_query, mean_vector
+from ..functions.vectors import feedback_query, mean_vector
 from ..sources.library import Library
 from .index import search, search_by_id
 from .units import RESULT, enrich
@@ -29,11 +29,13 @@ def similar_images(lib: Library, seed: DataFrame, n: int = 20, include_adult: bo
     """The seed's own result first (distance 0, ``is_anchor``), then its neighbours without the seed's unit, ``n`` rows at most.
 
     ``seed`` has one row with image_id.  A seed that may not be shown has no anchor row; then only
-    the seed image itself is left out.
+    the seed image itself is left out.  More hits are fetched than shown only where some may be
+    dropped: adult ones are hidden, or the anchor is a video.
     """
-    hits = search_by_id(lib.embeddings(), seed, window or search_window(n, True))
-    results = enrich(lib, hits, include_adult)
     anchor = enrich(lib, seed.select(F.lit(1).alias("rank"), "image_id", F.lit(0.0).alias("distance")), include_adult).where("rank = 1")
+    anchor = lib.spark.createDataFrame(anchor.collect(), anchor.schema)
+    hits = search_by_id(lib.embeddings(), seed, window or search_window(n, not include_adult or anchor.where("media_type = 'video'").count() > 0))
+    results = enrich(lib, hits, include_adult)
     unit = F.broadcast(anchor.select(F.col("video_id").alias("a_video"), F.col("image_id").alias("a_image")))
     hit = F.coalesce(F.col("video_id") == F.col("a_video"), F.lit(False)) | (F.col("video_id").isNull() & F.col("a_video").isNull() & (F.col("image_id") == F.col("a_image")))
     others = results.join(unit, hit, "left_anti").join(F.broadcast(seed.select(F.col("image_id").alias("seed_id"))), F.col("image_id") == F.col("seed_id"), "left_anti")
@@ -44,10 +46,9 @@ def similar_images(lib: Library, seed: DataFrame, n: int = 20, include_adult: bo
 def transcript_search(lib: Library, query: DataFrame, n: int = 20, include_adult: bool = False, vectors: DataFrame | None = None) -> DataFrame:
     """Videos by the distance of their transcript's vector; vectors of another length are passed over.  The preview is the first frame."""
     vectors = lib.transcript_embeddings() if vectors is None else vectors
-    scored = vectors.crossJoin(F.broadcast(query.select("query").limit(1))).select("video_id", cosine_distance(F.col("vector"), F.col("query")).alias("distance")).where("distance is not null")
     if not include_adult:
-        scored = scored.join(lib.adult_videos(), "video_id", "left_anti")
-    best = scored.orderBy("distance", "video_id").limit(n)
+        vectors = vectors.join(lib.adult_videos(), "video_id", "left_anti")
+    best = search(vectors.select(F.col("video_id").alias("image_id"), "vector"), query, n).select(F.col("image_id").alias("video_id"), "distance")
     frames = lib.frames.join(F.broadcast(best.select("video_id")), "video_id", "left_semi")
     first = Window.partitionBy("video_id").orderBy("frame_index")
     preview = frames.join(lib.images.select("image_id", F.col("storage_path").alias("preview_path")), "image_id").withColumn("rn", F.row_number().over(first)).where("rn = 1").select("video_id", "image_id", "preview_path")
@@ -85,9 +86,18 @@ def text_search(lib: Library, query: DataFrame, n: int = 20, required: list[str]
     return top(_ranked(merged.where(matches(F.col("tags"), list(required), match_all)), "rank"), n)
 
 
-def seed_frame(lib: Library, video: DataFrame) -> DataFrame:
-    """The first frame of the video (one row, video_id) that has a vector: ``image_id, seed_video``."""
+def seed_frame(lib: Library, video: DataFrame, image_id: int | None = None) -> DataFrame:
+    """The first frame of the video (one row, video_id) that has a vector: ``image_id, seed_video``.
+
+    With ``image_id`` that frame: ValueError if it is none of the video's, KeyError if it has no vector.
+    """
     frames = lib.frames.join(F.broadcast(video.select("video_id")), "video_id")
+    if image_id is not None:
+        frames = frames.where(F.col("image_id") == image_id)
+        if not frames.limit(1).count():
+            raise ValueError(f"image {image_id} is no frame of the video")
+        if not lib.embeddings().where(F.col("image_id") == image_id).limit(1).count():
+            raise KeyError(image_id)
     having = frames.join(lib.embeddings().select("image_id"), "image_id", "left_semi")
     return having.orderBy("frame_index", "image_id").limit(1).select("image_id", F.col("video_id").alias("seed_video"))
 
@@ -102,15 +112,16 @@ def usable_feedback(lib: Library, ids: DataFrame, seed: DataFrame, seen: DataFra
 def feedback_means(lib: Library, ids: DataFrame, seed: DataFrame, seen: DataFrame) -> DataFrame:
     """One row ``mean`` (null without usable ids) of the vectors that feedback names."""
     rows = usable_feedback(lib, ids, seed, seen).withColumn("one", F.lit(1))
-    mean = mean_vector(rows, ["one"], "vector")
+    mean = mean_vector(rows, ["one"], "vector", 64)
     return ids.sparkSession.range(1).select(F.lit(1).alias("one")).join(mean, "one", "left").select("mean")
 
 
-def similar_videos(lib: Library, video: DataFrame, n: int = 40, seen: list[int] = (), prefer: list[str] = (), avoid: list[str] = (), liked: list[int] = (), skipped: list[int] = (), include_adult: bool = False) -> DataFrame:
+def similar_videos(lib: Library, video: DataFrame, n: int = 40, seen: list[int] = (), prefer: list[str] = (), avoid: list[str] = (), liked: list[int] = (), skipped: list[int] = (), include_adult: bool = False, seed_image: int | None = None) -> DataFrame:
     """Unseen videos near a video's seed frame, one result each, reranked by tags before the cut to ``n``."""
     spark = lib.spark
     seen_rows = spark.createDataFrame([(int(x),) for x in seen], "video_id bigint").unionByName(video.select("video_id"))
-    seed = seed_frame(lib, video)
+    seed = seed_frame(lib, video, seed_image)
+    seed = spark.createDataFrame(seed.collect(), seed.schema)  # one row
     stored = lib.embeddings().join(F.broadcast(seed), "image_id").select(F.col("vector").alias("seed_vector"))
     query = stored.select(F.col("seed_vector").alias("query"))
     if liked or skipped:

@@ -16,9 +16,12 @@ def _frames_of(lib: Library, images: DataFrame) -> DataFrame:
     return images.join(lib.frames.select("image_id", "video_id", "frame_index", "timestamp_ms"), "image_id", "left")
 
 
-def with_adult_flag(lib: Library, units: DataFrame) -> DataFrame:
-    """Adds ``adult``: of a video if it or any frame is tagged, of a standalone image if it is."""
-    flagged = lib.adult_videos().withColumn("adult_video", F.lit(True))
+def with_adult_flag(lib: Library, units: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Adds ``adult``: of a video if it or any frame is tagged, of a standalone image if it is.
+
+    ``among`` (video_id) is the bounded list of the videos of ``units``, if there is one.
+    """
+    flagged = lib.adult_videos(among).withColumn("adult_video", F.lit(True))
     joined = units.join(flagged, "video_id", "left")
     own = is_adult(F.col("image_tags"))
     return joined.withColumn("adult", F.when(F.col("video_id").isNull(), own).otherwise(F.coalesce("adult_video", F.lit(False)))).drop("adult_video")
@@ -64,7 +67,8 @@ def enrich(lib: Library, hits: DataFrame, include_adult: bool) -> DataFrame:
     ``hits`` is a top-k list, bounded by its window, so it is the side that is broadcast.
     """
     found = image_fields(lib).join(F.broadcast(hits), "image_id")
-    units = with_adult_flag(lib, _frames_of(lib, found))
+    videos = lib.frames.join(F.broadcast(hits.select("image_id")), "image_id", "left_semi").select("video_id").distinct()
+    units = with_adult_flag(lib, _frames_of(lib, found), videos)
     if not include_adult:
         units = units.where(~F.col("adult"))
     first = Window.partitionBy("video_id", F.when(F.col("video_id").isNull(), F.col("rank"))).orderBy("rank", "frame_index")

@@ -16,9 +16,17 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+class TestLibrary(Library):
+    """The test data has no table of transcript vectors: that of image 7 * video_id + 1 stands in for a video's."""
+
+    def transcript_embeddings(self) -> DataFrame:
+        videos = self.table("videos").select("video_id", (F.col("video_id") * 7 + 1).alias("image_id"))
+        return videos.join(self.embeddings(), "image_id").select("video_id", "vector")
+
+
 def register(name: str, sql: str | None = None):
     def put(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Library(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(TestLibrary(spark, sf_dir))
         if sql:
             SQL[name] = sql
         return f
@@ -90,9 +98,9 @@ def _nearest_image(lib):
     return index.search_by_id(lib.embeddings(), _seed_image(lib), 20).select("rank", "image_id", F.round("distance", 6).alias("distance"))
 
 
-@register("nearest_quantized")
+@register("nearest_quantized", f"WITH {O.BASE}, h AS ({O.neighbours(O.QUERY_IMAGE, 20)}) SELECT rank, image_id, round(distance, 6) AS distance FROM h")
 def _nearest_quantized(lib):
-    return index.search_quantized(lib.embeddings(), _query(lib), 20)
+    return index.search_quantized(lib.embeddings(), _query(lib), 20).select("rank", "image_id", F.round("distance", 6).alias("distance"))
 
 
 @register("embedding_counts", "SELECT count(*) FILTER (model_id = 1) AS model_rows, count(*) AS all_rows, max(updated_at) FILTER (model_id = 1) AS newest FROM image_embeddings")
@@ -131,7 +139,7 @@ _UNIT = f"u AS (SELECT f.video_id, list_transform(e.vector, lambda x: x / sqrt(l
 @register("video_mean_vectors", f"WITH {O.BASE}, {_UNIT}, p AS (SELECT video_id, unnest(range(64)) AS pos, unnest(unit) AS x FROM u) SELECT video_id, pos::INT AS pos, round(avg(x), 5) AS mean FROM p GROUP BY ALL")
 def _means(lib):
     rows = lib.frames.join(lib.embeddings(), "image_id")
-    return V.mean_vector(rows, ["video_id"], "vector").select("video_id", F.posexplode("mean").alias("pos", "m")).select("video_id", "pos", F.round("m", 5).alias("mean"))
+    return V.mean_vector(rows, ["video_id"], "vector", 64).select("video_id", F.posexplode("mean").alias("pos", "m")).select("video_id", "pos", F.round("m", 5).alias("mean"))
 
 
 @register("match_scores", f"{_ALL_DISTANCES} SELECT image_id, round(greatest(0, least(1, 1 - (1 - CASE WHEN {_N2} = 0 THEN 0 ELSE list_cosine_similarity(vector, query) END))), 6) AS score FROM emb, q")
@@ -258,7 +266,8 @@ def _unit_tags(lib):
 
 
 def _similar_sql(include_adult: bool) -> str:
-    return f"""WITH {O.BASE}, hits AS ({O.neighbours(O.SEED_IMAGE, 160, O.SEED_IMAGE)}), res AS ({O.enriched("hits", include_adult)}),
+    window = f"CASE WHEN {'false' if include_adult else 'true'} OR EXISTS (SELECT 1 FROM video_frames WHERE image_id = {O.SEED_IMAGE}) THEN 160 ELSE 20 END"
+    return f"""WITH {O.BASE}, hits AS (SELECT * FROM ({O.neighbours(O.SEED_IMAGE, 160, O.SEED_IMAGE)}) WHERE rank <= {window}), res AS ({O.enriched("hits", include_adult)}),
     self AS (SELECT 1 AS rank, {O.SEED_IMAGE} AS image_id, 0.0::DOUBLE AS distance), anchor AS (SELECT * FROM ({O.enriched("self", include_adult)}) WHERE rank = 1),
     rest AS (SELECT * FROM res r WHERE r.image_id <> {O.SEED_IMAGE} AND NOT EXISTS (SELECT 1 FROM anchor a WHERE r.video_id = a.video_id OR (r.video_id IS NULL AND a.video_id IS NULL AND r.image_id = a.image_id))),
     both_ AS (SELECT true AS is_anchor, * FROM anchor UNION ALL SELECT false, * FROM rest),
@@ -342,9 +351,32 @@ def _similar_videos_tags(lib):
     return _shown(search.similar_videos(lib, _seed_video(lib), prefer=["outdoor", "boat"], avoid=["indoor"]))
 
 
-@register("similar_videos_feedback")
+def _first_frames(rest: int, n: int) -> str:
+    return f"SELECT image_id FROM video_frames JOIN emb USING (image_id) WHERE video_id = (SELECT min(video_id) FROM video_frames JOIN emb USING (image_id) WHERE video_id % 7 = {rest}) ORDER BY frame_index, image_id LIMIT {n}"
+
+
+_SEEN_VIDEO = "(SELECT min(video_id) FROM video_frames JOIN emb USING (image_id) WHERE video_id % 7 = {})"
+_FEEDBACK = f"""WITH {O.BASE}, {_SEEDF}, lk AS (SELECT DISTINCT image_id FROM ({_first_frames(3, 2)}) WHERE image_id NOT IN (SELECT image_id FROM sf)),
+    sk AS (SELECT DISTINCT image_id FROM ({_first_frames(4, 1)}) WHERE image_id NOT IN (SELECT image_id FROM sf UNION ALL SELECT image_id FROM lk)),
+    un AS (SELECT s, list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) AS unit FROM (SELECT 1 AS s, image_id FROM lk UNION ALL SELECT 2, image_id FROM sk) JOIN emb USING (image_id)),
+    pm AS (SELECT s, pos, avg(x) AS x FROM (SELECT s, unnest(range(64)) AS pos, unnest(unit) AS x FROM un) GROUP BY ALL),
+    dl AS (SELECT pos, sum(CASE WHEN s = 1 THEN 0.35 ELSE -0.15 END * x) AS d FROM pm GROUP BY 1), ln AS (SELECT sqrt(sum(d * d)) AS length FROM dl),
+    su AS (SELECT unnest(range(64)) AS pos, unnest(unit) AS x FROM (SELECT list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) AS unit FROM emb WHERE image_id = (SELECT image_id FROM sf))),
+    mq AS (SELECT list(x + d * (SELECT CASE WHEN length > 0.35 THEN 0.35 / length ELSE 1 END FROM ln) ORDER BY pos) AS query FROM su JOIN dl USING (pos))"""
+
+
+@register(
+    "similar_videos_feedback",
+    f"""{_FEEDBACK}, hits AS (SELECT row_number() OVER (ORDER BY distance, image_id) AS rank, * FROM (SELECT image_id, 1 - list_cosine_similarity(vector, (SELECT query FROM mq)) AS distance FROM emb WHERE image_id <> (SELECT image_id FROM sf) ORDER BY 2, 1 LIMIT 2584)),
+    res AS ({O.enriched("hits", False)}), o AS (SELECT * EXCLUDE (rank), row_number() OVER (ORDER BY rank) AS rank FROM res WHERE media_type = 'video' AND video_id NOT IN ({O.SEED_VIDEO}, {_SEEN_VIDEO.format(3)}, {_SEEN_VIDEO.format(4)}))
+    SELECT rank, {O.COLUMNS}, round(distance, 4) AS distance FROM o WHERE rank <= 40""",
+)
 def _similar_videos_feedback(lib):
-    return _shown(search.similar_videos(lib, _seed_video(lib), seen=[1, 2, 3], liked=[10, 20], skipped=[30]))
+    having = lib.frames.join(lib.embeddings().select("image_id"), "image_id", "left_semi")
+    seen = [having.where(f"video_id % 7 = {rest}").agg(F.min("video_id")).collect()[0][0] for rest in (3, 4)]
+    liked, skipped = ([r.image_id for r in having.where(F.col("video_id") == v).orderBy("frame_index", "image_id").limit(n).collect()] for v, n in zip(seen, (2, 1), strict=True))
+    results = search.similar_videos(lib, _seed_video(lib), seen=seen, liked=liked, skipped=skipped)
+    return _shown(results, distance=False).join(results.select("rank", F.round("distance", 4).alias("distance")), "rank")
 
 
 @register(
@@ -357,7 +389,7 @@ def _similar_videos_feedback(lib):
     SELECT video_id, round(moved[1] / sqrt(list_sum(list_transform(moved, lambda x: x * x))), 4) AS first FROM n""",
 )
 def _feedback_queries(lib):
-    means = V.mean_vector(lib.frames.join(lib.embeddings(), "image_id"), ["video_id"], "vector")
+    means = V.mean_vector(lib.frames.join(lib.embeddings(), "image_id"), ["video_id"], "vector", 64)
     seeds = _seed_frames(lib).join(lib.embeddings(), "image_id").select("video_id", "vector")
     moved = V.feedback_query(F.col("vector"), F.col("mean"), F.lit(None).cast("array<double>"))
     return seeds.join(means, "video_id").select("video_id", F.round(moved[0].cast("double"), 4).alias("first"))
@@ -568,11 +600,24 @@ def _after_requeue(lib):
     return jobs.requeue_unannotated(lib, _now()).select("job_id", "state")
 
 
-@register("queue_after_retry", "SELECT job_id, CASE WHEN model_id = 1 AND state = 'failed' THEN 'pending' ELSE state END AS state, CASE WHEN model_id = 1 AND state = 'failed' THEN 0 ELSE attempts END AS attempts, CASE WHEN model_id = 1 AND state = 'failed' THEN NULL ELSE last_error END AS last_error FROM index_jobs")
+_RETRIED = f"(model_id = 1 AND (state = 'failed' OR (kind = 'annotate_image' AND state = 'done' AND coalesce(image_id IN {_LACK}, false))))"
+
+
+@register("queue_after_retry", f"SELECT job_id, CASE WHEN {_RETRIED} THEN 'pending' ELSE state END AS state, CASE WHEN {_RETRIED} THEN 0 ELSE attempts END AS attempts, CASE WHEN {_RETRIED} THEN NULL ELSE last_error END AS last_error FROM index_jobs")
 def _after_retry(lib):
     return jobs.retry_failed(lib, _now())[0].select("job_id", "state", "attempts", "last_error")
 
 
+@register(
+    "retry_counts",
+    f"""SELECT count(*) FILTER (model_id = 1 AND state = 'failed') AS retried, count(*) FILTER (model_id = 1 AND kind = 'annotate_image' AND state = 'done' AND image_id IN {_LACK})
+      + (SELECT count(*) FROM ({_missing_sql("embed_image", "image_id", "SELECT image_id FROM images")})) + (SELECT count(*) FROM ({_missing_sql("annotate_image", "image_id", _LACK[1:-1])}))
+      + (SELECT count(*) FROM ({_missing_sql("annotate_video", "video_id", f"SELECT video_id FROM videos WHERE {_MISSING}")})) + (SELECT count(*) FROM ({_missing_sql("transcribe_video", "video_id", _WANT_TRANSCRIPT)})) AS enqueued FROM index_jobs""",
+)
+def _retry_counts(lib):
+    return jobs.retry_failed(lib, _now())[2]
+
+
 @register("queue_after_reannotate", "SELECT job_id, CASE WHEN kind = 'annotate_image' AND model_id = 1 AND image_id % 3 = 0 AND state <> 'leased' THEN 'pending' ELSE state END AS state FROM index_jobs")
 def _requests(lib):
     items = lib.images.where("image_id % 3 = 0")
@@ -644,13 +689,16 @@ def _version_tokens(lib):
     return lib.images.select("image_id", X.version_token(F.col("original_name")).alias("token"))
 
 
-_NOISE = " OR ".join(f"regexp_matches(stem, '{p}')" for p in X.NOISY)
+_NOISE = " OR ".join(f"regexp_matches(low, '{p}')" for p in X.NOISY)
+_FIELDS = r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 @register(
     "filename_hints",
-    f"""WITH s AS (SELECT image_id, {O.trimmed("regexp_replace(regexp_replace(original_name, '^.*[/\\\\]', ''), '[.][^.]*$', '')")} AS stem FROM images), w AS (SELECT *, trim(regexp_replace(regexp_replace(stem, '[_.-]+', ' ', 'g'), '\\s+', ' ', 'g'))[1:80] AS words FROM s)
-    SELECT image_id, CASE WHEN NOT ({_NOISE}) AND len(list_filter(string_split(words, ' '), lambda w: len(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) >= 3)) >= 2 THEN words END AS hint FROM w""",
+    f"""WITH s AS (SELECT image_id, regexp_replace(regexp_replace({O.trimmed("original_name")}, '^.*[/\\\\]', ''), '[.][^.]*$', '') AS stem FROM images),
+    f AS (SELECT image_id, {O.trimmed(f"regexp_replace(regexp_replace(stem, '[_.-]', ' ', 'g'), '{_FIELDS}', ' ', 'g')")} AS spaced FROM s),
+    w AS (SELECT image_id, {O.trimmed("regexp_replace(spaced, '[\\x{0}-\\x{1F}]', '', 'g')[1:80]")} AS words FROM f), l AS (SELECT *, lower(words) AS low FROM w)
+    SELECT image_id, CASE WHEN NOT ({_NOISE}) AND len(list_filter(string_split(low, ' '), lambda w: len(regexp_replace(w, '[^a-z]', '', 'g')) >= 3)) >= 2 THEN words END AS hint FROM l""",
 )
 def _hints(lib):
     return lib.images.select("image_id", X.filename_hint(F.col("original_name")).alias("hint"))

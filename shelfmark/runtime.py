@@ -9,11 +9,14 @@ is made for the session.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -57,6 +60,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CACHED: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def table_state(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files: equal as long as the table is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    told = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return hashlib.blake2b(repr(told).encode(), digest_size=8).hexdigest()
+
+
+def cached(spark: SparkSession, label: str, state: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that is staged once in an application, and anew when ``state`` of what it comes from changes."""
+    key = (spark.sparkContext.applicationId, f"{label}-{state}")
+    if key in _CACHED:
+        path, schema = _CACHED[key]
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            return spark.read.schema(schema).parquet(path)
+    df, path = make(), new_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    _CACHED[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove staged tables that no plan reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

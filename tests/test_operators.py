@@ -198,7 +198,9 @@ def test_failing_and_retrying(spark, lib):
     assert after[2].state == "failed" and after[4].state == "pending" and after[4].run_after == T0 + dt.timedelta(seconds=5)
     waits = spark.createDataFrame([(1,), (2,), (3,), (10,), (60,)], "a int").select(jobs.retry_delay(F.col("a"))).collect()
     assert [r[0] for r in waits] == [5, 10, 20, 300, 300]
-    queue, more = jobs.retry_failed(lib, now)
+    queue, more, counts = jobs.retry_failed(lib, now)
+    requeued = sum(a.state != b.state for a, b in zip(lib.jobs.orderBy("job_id").collect(), jobs.requeue_unannotated(lib, now).orderBy("job_id").collect(), strict=True))
+    assert tuple(counts.collect()[0]) == (lib.jobs.where("state = 'failed' and model_id = 1").count(), requeued + more.count())
     states = {r.job_id: r.state for r in queue.collect()}
     assert states[2] == "pending" and states[7] == "failed"
     assert {r.image_id for r in more.where("kind = 'embed_image'").collect()} == {5, 6, 7}
@@ -208,6 +210,15 @@ def test_processing_goes_on_after_a_failure(lib):
     handler = lambda df: df.select("job_id", F.when(F.col("job_id") == 3, "boom").alias("error"))
     after = {r.job_id: r for r in jobs.process_batch(lib.jobs, {"embed_image": handler}, 1, F.lit(T0), 5).collect()}
     assert (after[4].state, after[3].state, after[3].last_error) == ("done", "pending", "boom")
+    calls = lib.spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counting(job_id):
+        calls.add(1)
+        return "boom" if job_id == 3 else None
+
+    jobs.process_batch(lib.jobs, {"embed_image": lambda df: df.select("job_id", counting("job_id").alias("error"))}, 1, F.lit(T0), 5).collect()
+    assert calls.value == 2  # each claimed job once
     with pytest.raises(ValueError):
         jobs.process_batch(lib.jobs, {}, 1, F.lit(T0))
 
