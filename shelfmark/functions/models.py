@@ -88,11 +88,14 @@ def embed_jobs(tasks: DataFrame, factory: Callable[[], object]) -> DataFrame:
 def summarize_videos(inputs: DataFrame, most_tags: int = 10, most_words: int = 40) -> DataFrame:
     """``video_id, description, tags``: a deterministic summary of ``video_inputs``: the first described frame and the commonest tags.
 
+    Tags of equal count are taken in the order in which they appear; blank ones are passed over.
     Videos without a described frame have no row.
     """
     told = F.filter("frames", lambda f: F.trim(F.coalesce(f["description"], F.lit(""))) != "")
     rows = inputs.withColumn("told", told).where(F.size("told") > 0)
-    tags = F.slice(F.array_distinct(F.flatten(F.transform("told", lambda f: F.transform(f["tags"], lambda t: F.lower(F.trim(t)))))), 1, most_tags)
+    rows = rows.withColumn("all", F.filter(F.flatten(F.transform("told", lambda f: F.transform(f["tags"], lambda t: F.lower(F.trim(t))))), lambda t: t != ""))
+    counted = F.transform(F.array_distinct("all"), lambda t, k: F.struct(-F.size(F.filter("all", lambda x: x == t)), k, t.alias("tag")))
+    tags = F.slice(F.transform(F.array_sort(counted), lambda c: c["tag"]), 1, most_tags)
     words = F.array_join(F.slice(F.split(F.col("told")[0]["description"], r"\s+"), 1, most_words), " ")
     return rows.select("video_id", words.alias("description"), tags.alias("tags"))
 

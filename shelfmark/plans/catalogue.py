@@ -731,6 +731,27 @@ def _accepted(lib):
     return ingest.store_once(lib.table("uploads").where("status = 'ok'"))
 
 
+_INGEST = """WITH o AS (SELECT *, nullif(regexp_extract(lower(trim(sha256, E' \\n\\t\\r')), '^(?:sha256:)?([0-9a-f]{64})$', 1), '') AS digest FROM uploads WHERE status = 'ok'),
+    f AS (SELECT * FROM o WHERE digest IS NOT NULL AND digest NOT IN (SELECT sha256 FROM images) QUALIFY row_number() OVER (PARTITION BY digest ORDER BY upload_id) = 1),
+    n AS (SELECT (SELECT max(image_id) FROM images) + row_number() OVER (ORDER BY upload_id) AS image_id, digest AS sha256, filename AS original_name, mime_type, width, height FROM f)"""
+
+
+def _ingest(lib):
+    """All accepted uploads taken in; the images lack the contents of videos, which thus are new rows."""
+    files = lib.table("uploads").where("status = 'ok'").select("upload_id", ingest.clean_digest(F.col("sha256")).alias("digest"), F.col("filename").alias("original_name"), "mime_type", "width", "height").where("digest is not null")
+    return ingest.ingest_images(lib.table("images"), lib.jobs, files, 1, _now())
+
+
+@register("ingested_images", f"{_INGEST} SELECT * FROM n")
+def _ingested(lib):
+    return _ingest(lib)[0].select("image_id", "sha256", "original_name", "mime_type", "width", "height")
+
+
+@register("ingest_jobs", f"{_INGEST}, k AS (SELECT image_id FROM images WHERE sha256 IN (SELECT digest FROM o) UNION ALL SELECT image_id FROM n) SELECT image_id FROM k WHERE image_id NOT IN (SELECT image_id FROM index_jobs WHERE kind = 'embed_image' AND model_id = 1 AND image_id IS NOT NULL)")
+def _ingest_jobs(lib):
+    return _ingest(lib)[1].select("image_id")
+
+
 @register(
     "upload_batches",
     """WITH o AS (SELECT *, nullif(regexp_extract(lower(trim(sha256, E' \\n\\t\\r')), '^(?:sha256:)?([0-9a-f]{64})$', 1), '') AS digest FROM uploads), g AS (SELECT *, status = 'ok' AND digest IS NOT NULL AND upload_id <> min(CASE WHEN status = 'ok' THEN upload_id END) OVER (PARTITION BY digest) AS dup FROM o),

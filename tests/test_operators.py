@@ -206,6 +206,28 @@ def test_failing_and_retrying(spark, lib):
     assert {r.image_id for r in more.where("kind = 'embed_image'").collect()} == {5, 6, 7}
 
 
+def test_a_chosen_seed_frame(spark, lib):
+    video = spark.createDataFrame([(1,)], "video_id bigint")
+    frames = [r.image_id for r in lib.frames.where("video_id = 1").orderBy("frame_index").collect()]
+    stored = {r.image_id for r in lib.embeddings().collect()}
+    for k in frames:
+        if k in stored:
+            assert [tuple(r) for r in search.seed_frame(lib, video, k).collect()] == [(k, 1)]
+        else:
+            with pytest.raises(KeyError):
+                search.seed_frame(lib, video, k)
+    with pytest.raises(ValueError, match="no frame"):
+        search.seed_frame(lib, video, 99)
+
+
+def test_the_commonest_tags_of_a_video(spark):
+    from shelfmark.functions.models import summarize_videos
+
+    rows = [(1, [("", ["zebra", "zebra"]), ("A red boat", ["boat", " Sea "]), ("Waves", ["sea", "sky", ""])]), (2, [(" ", ["x"])])]
+    got = summarize_videos(spark.createDataFrame(rows, "video_id bigint, frames array<struct<description:string,tags:array<string>>>"), 2).collect()
+    assert [(r.video_id, r.description, r.tags) for r in got] == [(1, "A red boat", ["sea", "boat"])]
+
+
 def test_processing_goes_on_after_a_failure(lib):
     handler = lambda df: df.select("job_id", F.when(F.col("job_id") == 3, "boom").alias("error"))
     after = {r.job_id: r for r in jobs.process_batch(lib.jobs, {"embed_image": handler}, 1, F.lit(T0), 5).collect()}
