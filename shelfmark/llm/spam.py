@@ -60,9 +60,10 @@ def _words(text: str) -> list[str]:
     return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
 
 
-def _told(words: list[str]) -> int:
+def _told(words: list[str], latin: bool) -> int:
     """How many words are function words; runs of Hiragana count as such."""
-    return sum(map(_FUNCTION.__contains__, words)) + sum("\u3041" <= w[0] <= "\u309f" for w in words if w[0] > "\u3040")
+    own = sum(map(_FUNCTION.__contains__, words))
+    return own if latin else own + sum("\u3041" <= w[0] <= "\u309f" for w in words)
 
 
 class Page:
@@ -112,7 +113,8 @@ class Page:
                 covered += now or last
                 last = now
             covered += last
-        told = [_told(own) for _, _, own in self.segments]
+        latin = self.text.isascii()
+        told = [_told(own, latin) for _, _, own in self.segments]
         sentences = sum(size for (size, own, _), t in zip(self.segments, told, strict=True) if len(own) >= 3 and t >= 0.15 * len(own))
         long = max(sum(size for size, _, _ in self.segments), 1)
         raw = self.text.encode("utf-8", "replace")
@@ -259,10 +261,11 @@ def _split_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = [Page(t) if t and not t.isspace() else None for t in batch.column(2).to_pylist()]
         plain = [p.plain() if p else None for p in pages]
-        seed = seed_label(np.array([x + [0.0, 0.0, 0.0, p.ends(), 0.0] if p else [0.0] * len(FEATURES) for x, p in zip(plain, pages, strict=True)], float).reshape(len(pages), len(FEATURES)))
+        ends = [p.ends() if p else None for p in pages]
+        seed = seed_label(np.array([x + [0.0, 0.0, 0.0, e, 0.0] if x else [0.0] * len(FEATURES) for x, e in zip(plain, ends, strict=True)], float).reshape(len(pages), len(FEATURES)))
         made = [
-            plain, *([f(p) if p else None for p in pages] for f in (
-                lambda p: [x[0] for x in p.segments], lambda p: [len(x[2]) for x in p.segments], lambda p: float(p.links + p.tags), Page.ends,
+            plain, *([f(p) if p else None for p in pages] for f in (lambda p: [x[0] for x in p.segments], lambda p: [len(x[2]) for x in p.segments], lambda p: float(p.links + p.tags))), ends,
+            *([f(p) if p else None for p in pages] for f in (
                 lambda p: [" ".join(x[2]) for x in p.segments], lambda p: " ".join(w.lower() for t in _HASHTAG.findall(p.text) for w in _words(t)) if p.tags else "",
             )), [int(k) if p else None for k, p in zip(seed, pages, strict=True)],
         ]
